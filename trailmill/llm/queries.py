@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import load
+from .patterns import all_patterns, closed_patterns
 from .runs import collapse_runs
 
 
@@ -19,4 +20,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return p2_runs(spark, d).where(F.col("n_events") > 1).select("object_id", "first_event_id", "last_event_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs)}
+def p4_closed(spark: SparkSession, d: str) -> DataFrame:
+    return closed_patterns(load(spark, d, "sky_event")).select(F.array_join("pattern", " ").alias("actions"), F.size("pattern").alias("steps"), "support")
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    found = all_patterns(closed_patterns(load(spark, d, "sky_event")), 3)
+    return found.select(*(F.col("pattern")[i].alias(f"action_{i + 1}") for i in range(3)))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed)}

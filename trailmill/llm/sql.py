@@ -17,7 +17,22 @@ runs AS (
     min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_events, max(ts) - min(ts) AS duration_us
   FROM numbered GROUP BY object_id, no)"""
 
+TRIPLES = f"""WITH {VALID},
+acts AS (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY ts, seq DESC NULLS LAST, event_id) AS pos FROM valid WHERE action_id > 0),
+least AS (SELECT greatest(3, ceil(count(DISTINCT object_id) / 60.0)) AS n FROM acts),
+items AS (SELECT action_id FROM acts GROUP BY action_id HAVING count(DISTINCT object_id) >= (SELECT n FROM least)),
+kept AS MATERIALIZED (SELECT * FROM acts SEMI JOIN items USING (action_id)),
+pairs AS MATERIALIZED (
+  SELECT DISTINCT x.object_id, x.action_id AS a, y.action_id AS b, y.pos, y.ts
+  FROM kept x JOIN kept y ON x.object_id = y.object_id AND y.pos > x.pos AND y.ts - x.ts <= 1800000000),
+often AS (SELECT a, b FROM pairs GROUP BY a, b HAVING count(DISTINCT object_id) >= (SELECT n FROM least)),
+held AS (SELECT p.* FROM pairs p JOIN often o ON p.a = o.a AND p.b = o.b),
+triples AS (
+  SELECT DISTINCT x.object_id, x.a, x.b, y.action_id AS c
+  FROM held x JOIN kept y ON x.object_id = y.object_id AND y.pos > x.pos AND y.ts - x.ts <= 1800000000)"""
+
 SQL: dict[str, str] = {
     "p2_found": f"{RUNS} SELECT object_id, first_event_id, last_event_id FROM runs WHERE n_events > 1",
+    "p4_found": f"{TRIPLES} SELECT a AS action_1, b AS action_2, c AS action_3 FROM triples GROUP BY a, b, c HAVING count(*) >= (SELECT n FROM least)",
     "p2_runs": f"{RUNS} SELECT * FROM runs",
 }

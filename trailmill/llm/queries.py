@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..queries import load
+from .leaks import leaked_items
 from .patterns import all_patterns, closed_patterns
 from .runs import collapse_runs
 
@@ -29,4 +30,8 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select(*(F.col("pattern")[i].alias(f"action_{i + 1}") for i in range(3)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed)}
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_item"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found)}

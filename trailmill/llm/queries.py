@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..queries import load
 from .leaks import leaked_items
 from .patterns import all_patterns, closed_patterns
+from .residue import residue_coverage, without_residue
 from .runs import collapse_runs
 
 
@@ -34,4 +35,12 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_item"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return without_residue(load(spark, d, "documents"))[1]
+
+
+def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
+    return residue_coverage(load(spark, d, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p10_found, p10_coverage)}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..queries import load
 from .leaks import leaked_items
+from .mixing import mix_sources
 from .patterns import all_patterns, closed_patterns
 from .residue import residue_coverage, without_residue
 from .runs import collapse_runs
@@ -43,4 +44,12 @@ def p10_coverage(spark: SparkSession, d: str) -> DataFrame:
     return residue_coverage(load(spark, d, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p10_found, p10_coverage)}
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[1]
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p9_mix, p9_shares, p10_found, p10_coverage)}

@@ -102,7 +102,7 @@ class Slicing:
 def plan_slices(events: DataFrame, slice_rows: int = SLICE_ROWS, time: str = "timestamp") -> Slicing:
     """Find the objects whose rows must be spread, and their cut times.
 
-    Two jobs with map-side aggregation over two columns.  What comes to the
+    ``time`` is a timestamp, or a number of microseconds.  Two jobs with map-side aggregation over two columns.  What comes to the
     driver is bounded: only objects above the limit are collected, and the
     limit grows with the table once ``MOST_SLICES`` would be passed.
     """
@@ -111,7 +111,8 @@ def plan_slices(events: DataFrame, slice_rows: int = SLICE_ROWS, time: str = "ti
     limit = max(slice_rows, total // MOST_SLICES)
     if total <= limit:
         return Slicing()
-    rows = events.where((F.col("object_id") > 0) & F.col(time).isNotNull()).select("object_id", micros(time).alias("ts"))
+    at = F.col(time) if dict(events.dtypes)[time] == "bigint" else micros(time)
+    rows = events.where(F.col("object_id").isNotNull() & F.col(time).isNotNull()).select("object_id", at.alias("ts"))
     long = {r[0]: r[1] for r in rows.groupBy("object_id").count().where(F.col("count") > limit).collect()}
     if not long:
         return Slicing()

@@ -1,0 +1,190 @@
+"""Operators on small dirty tables against plain Python."""
+
+from __future__ import annotations
+
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+import samples
+from trailmill.operators.asof import PersistentTree, known_attributes
+from trailmill.operators.cells import cells
+from trailmill.operators.features import apply_deltas, deltas, feature_columns, feature_rows, feature_table
+from trailmill.operators.history import attribute_history, diff_snapshots, snapshot_history
+from trailmill.operators.paths import Slicing, plan_slices, valid_events
+from trailmill.operators.sessions import sessions
+from trailmill.operators.wide import cell_status, outer_join_all, wide_rows
+
+MINUTE = 60_000_000
+
+
+def rows(df):
+    return sorted(map(tuple, df.collect()), key=repr)
+
+
+@pytest.fixture(scope="module", params=[0, 1])
+def sample(request, spark):
+    e, d = samples.events(seed=request.param), samples.data(seed=request.param)
+    return e, d, *(f.cache() for f in samples.frames(spark, e, d))
+
+
+@pytest.fixture(params=[0, 25], ids=["whole", "sliced"])
+def slicing(request, sample):
+    if not request.param:
+        return Slicing()
+    s = plan_slices(sample[2], request.param)
+    assert len(s.cuts[7]) >= 2
+    return s
+
+
+def test_valid_events(sample):
+    assert rows(valid_events(sample[2]).select("event_id", "object_id", "ts", "seq", "action_id")) == sorted(samples.valid(sample[0]), key=repr)
+
+
+def test_cells(sample):
+    want = samples.cells(sample[1])
+    got = {(r.event_id, r.key): r for r in cells(sample[3], sample[4]).collect()}
+    assert set(got) == set(want)
+    for k, (status, values) in want.items():
+        value = next((v for v in (got[k].v_int, got[k].v_float, got[k].v_bool, got[k].v_str) if v is not None), None)
+        assert got[k].status == status and value in values, (k, got[k], want[k])
+
+
+def test_wide_rows(sample):
+    wide = wide_rows(sample[3], sample[4])
+    want = samples.cells(sample[1])
+    assert [c for c in wide.columns if "__" not in c] == ["event_id", "a2_a_b", "a1_n", "o1_level", "o2_plan", "o3_on", "o4_score"]
+    got = {r.event_id: r for r in wide.collect()}
+    assert set(got) == {e for e, _ in want} and wide.count() == len(got)
+    name = {1: "o1_level", 2: "o2_plan", 3: "o3_on", 4: "o4_score", -1: "a1_n", -2: "a2_a_b"}
+    for event, row in got.items():
+        for key, column in name.items():
+            status, values = want.get((event, key), (None, {None}))
+            assert row[f"{column}__cell"] == status and row[column] in values
+    assert rows(cell_status(wide, sample[4])) == sorted(((e, k, s) for (e, k), (s, _) in want.items() if s != "ok"), key=repr)
+
+
+def test_outer_join_all_is_balanced(spark):
+    tables = [spark.range(i, i + 3).withColumnRenamed("id", "e").withColumn(f"v{i}", F.lit(i)) for i in range(5)]
+    got = {r.e: r for r in outer_join_all(tables, "e").collect()}
+    assert sorted(got) == list(range(7)) and got[2].v0 == 0 and got[2].v2 == 2 and got[2].v3 is None
+
+
+def test_sessions(sample, slicing):
+    want = []
+    for o, path in samples.paths(sample[0]).items():
+        for i, v in enumerate(path):
+            if i and v[2] - path[i - 1][2] <= 30 * MINUTE:
+                want[-1] = (*want[-1][:2], v[0], want[-1][3], v[2], v[2] - want[-1][3], want[-1][6] + 1)
+            else:
+                want.append((o, v[0], v[0], v[2], v[2], 0, 1))
+    assert rows(sessions(sample[2], 30 * MINUTE, slicing)) == sorted(want, key=repr)
+
+
+def test_features(sample):
+    want = {}
+    for o, path in samples.paths(sample[0]).items():
+        for v in path:
+            if v[4] and v[4] > 0:
+                want[o, v[4]] = (want.get((o, v[4]), (0,))[0] + 1, v[2], v[0])
+    table = feature_table(sample[2])
+    assert rows(table) == sorted(((*k, *v) for k, v in want.items()), key=repr)
+    got = {r.object_id: r for r in feature_rows(table).collect()}
+    assert all(got[o].features[a].n == v[0] for (o, a), v in want.items())
+    assert all(math.isclose(sum(f.share for f in r.features.values()), 1) for r in got.values())
+    wide = {r.object_id: r for r in feature_columns(table, [1, 2, 999]).collect()}
+    assert all(r.n_1 == want.get((o, 1), (0,))[0] and r.n_999 == 0 and r.age_999 is None for o, r in wide.items())
+
+
+def test_deltas_repair_only_what_lost_its_latest(spark):
+    schema = "event_id long, object_id long, ts long, seq long, action_id int"
+    live = spark.createDataFrame([(1, 5, 10, 1, 1), (2, 5, 20, 2, 1), (4, 6, 10, 4, 1)], schema)
+    gone = spark.createDataFrame([(3, 5, 30, 3, 1), (5, 6, 5, 5, 1), (6, 8, 5, 6, 1)], schema)
+    found = apply_deltas(deltas(live.unionByName(gone), 1), deltas(gone, -1), live)
+    assert rows(found.select("object_id", "n", "last.event_id")) == [(5, 2, 2), (6, 1, 4)]
+
+
+def _updates(e, d):
+    """Updates per object and key in path order; values of which any is right."""
+    good = {k: v for k, v in samples.cells(d).items() if v[0] != "rejected" and k[1] > 0}
+    return {(o, k): [(v, good[v[0], k][1]) for v in path if (v[0], k) in good] for o, path in samples.paths(e).items() for k in (1, 2, 3, 4)}
+
+
+def test_history(sample, slicing):
+    got = attribute_history(*sample[2:5], slicing)
+    rows_by = {}
+    for r in got.collect():
+        rows_by.setdefault((r.object_id, r.key), []).append(r)
+    resolved = {(r.event_id, r.key): next((v for v in (r.v_int, r.v_float, r.v_bool, r.v_str) if v is not None), None) for r in cells(sample[3], sample[4]).collect()}
+    for (o, k), path in _updates(sample[0], sample[1]).items():
+        starts, last = [], object()
+        for v, _ in path:
+            value = resolved[v[0], k]
+            if not starts or value != last:
+                starts.append((v[0], v[2]))
+            last = value
+        found = {r.start_event_id: r for r in rows_by.get((o, k), [])}
+        assert set(found) == {s for s, _ in starts}
+        for (s, t), nxt in zip(starts, [*starts[1:], (None, None)]):
+            assert (found[s].valid_from, found[s].valid_to) == (t, nxt[1])
+            assert found[s].change == ("inserted" if s == starts[0][0] else "changed")
+
+
+def test_known_attributes(sample, slicing):
+    want = []
+    updates = _updates(sample[0], sample[1])
+    for o, path in samples.paths(sample[0]).items():
+        for v in path:
+            if v[4] != 1:
+                continue
+            for k in (1, 2, 3, 4):
+                known = [u for u, _ in updates[o, k]]
+                if any(u[0] == v[0] for u in known):
+                    want.append((v[0], k, v[0]))
+                elif v[3] is not None:
+                    known = [u for u in known if u[2] < v[2] and u[3] is not None and u[3] < v[3]]
+                    if known:
+                        want.append((v[0], k, known[-1][0]))
+    got = known_attributes(sample[2], sample[3], sample[4], [1], slicing, shard_rows=100)
+    assert rows(got.select("event_id", "key", "source_event_id")) == sorted(want, key=repr)
+    assert len(want) > 50
+
+
+def test_persistent_tree():
+    import numpy as np
+
+    r = np.random.default_rng(0)
+    for n in (1, 2, 3, 8, 9, 100):
+        ranks = r.permutation(n)
+        tree = PersistentTree(ranks)
+        version, below = r.integers(-1, n, 200), r.integers(0, n + 1, 200)
+        for v, b, got in zip(version, below, tree.before(version, below)):
+            known = [(ranks[i], i) for i in range(v + 1) if ranks[i] < b]
+            assert got == (max(known)[1] if known else -1)
+
+
+def test_diff_snapshots(spark):
+    a = spark.createDataFrame([(1, "x"), (2, None), (3, "y"), (None, "n")], "k int, v string")
+    b = spark.createDataFrame([(1, "x"), (2, "z"), (4, None), (None, "n")], "k int, v string")
+    assert rows(diff_snapshots(a, b, ["k"], ["v"]).select("k", "change")) == sorted([(1, "same"), (2, "changed"), (3, "deleted"), (4, "inserted"), (None, "same")], key=repr)
+
+
+def test_snapshot_history(spark):
+    s = spark.createDataFrame([(1, "a", 1), (2, "a", 1), (3, "a", 2), (1, "b", 5), (3, "b", 5), (3, "c", None)], "no int, k string, v int")
+    got = rows(snapshot_history(s, "no", ["k"], ["v"]))
+    assert got == sorted([("a", 1, 1, 3), ("a", 2, 3, None), ("b", 5, 1, 2), ("b", 5, 3, None), ("c", None, 3, None)], key=repr)
+
+
+def test_empty_tables(spark):
+    e, d, p, _ = samples.frames(spark, [], [])
+    assert sessions(e).count() == feature_table(e).count() == attribute_history(e, d, p).count() == known_attributes(e, d, p, [1]).count() == 0
+    wide = wide_rows(d, p)
+    assert wide.count() == 0 and len(wide.columns) == 1 + 2 * len(samples.PROPERTIES)
+    none = p.where("id is null")
+    assert wide_rows(d, none).columns == ["event_id"] and cell_status(wide_rows(d, none), none).count() == 0
+
+
+def test_missing_column_is_named(spark):
+    with pytest.raises(ValueError, match="seq"):
+        valid_events(samples.frames(spark, [], [])[0].drop("seq"))

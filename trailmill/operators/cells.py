@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import exactly
+
 #: Registered properties that may be sent to all tasks: ids of 8 bits.
 MOST_PROPERTIES = 256
 #: Blanks of any kind at either end of a text.
@@ -53,12 +55,12 @@ def registered(event_data: DataFrame, properties: DataFrame, objects_only: bool
     Rows without event or with a key nobody registered are left out.  The
     registry is broadcast: ids have 8 bits, and the size is checked.
     """
-    p = properties.where(F.col("id").isNotNull() & (F.col("id") > 0 if objects_only else F.lit(True)))
+    p = exactly(properties, "id", "data_type").where(F.col("id").isNotNull() & (F.col("id") > 0 if objects_only else F.lit(True)))
     table = p.groupBy("id").agg(F.min("data_type").alias("kind")).select(F.col("id").alias("key"), "kind").limit(MOST_PROPERTIES + 1).collect()
     if len(table) > MOST_PROPERTIES:
         raise ValueError(f"more than {MOST_PROPERTIES} registered properties")
     small = event_data.sparkSession.createDataFrame(table, "key int, kind string")
-    rows = event_data.where(F.col("event_id").isNotNull()).select("event_id", "idx", "key", "data_type", *VALUES.values())
+    rows = exactly(event_data, "event_id", "idx", "key", "data_type", *VALUES.values()).where(F.col("event_id").isNotNull())
     return rows.join(F.broadcast(small), "key")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import prepare
+from ..session import exactly, prepare
 from .paths import micros
 
 KEYS = ["object_id", "action_id"]
@@ -18,6 +18,7 @@ def usable() -> Column:
 
 def _rows(events: DataFrame) -> DataFrame:
     prepare(events.sparkSession)
+    events = exactly(events, "event_id", "object_id", "timestamp", "seq", "action_id")
     return events.where(F.col("event_id").isNotNull()).select("event_id", "object_id", micros("timestamp").alias("ts"), "seq", "action_id")
 
 

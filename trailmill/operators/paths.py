@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import prepare
+from ..session import exactly, prepare
 
 #: Rows of one object that a single window partition may hold.
 SLICE_ROWS = 100_000
@@ -41,6 +41,7 @@ def valid_events(events: DataFrame) -> DataFrame:
     result.
     """
     prepare(events.sparkSession)
+    events = exactly(events, "event_id", "object_id", "timestamp", "seq", "action_id")
     rows = events.where(F.col("event_id").isNotNull()).select(
         "event_id", "object_id", micros("timestamp").alias("ts"), "seq", "action_id"
     )
@@ -107,6 +108,7 @@ def plan_slices(events: DataFrame, slice_rows: int = SLICE_ROWS, time: str = "ti
     limit grows with the table once ``MOST_SLICES`` would be passed.
     """
     prepare(events.sparkSession)
+    events = exactly(events, "object_id", time)
     total = events.count()  # answered from Parquet footers
     limit = max(slice_rows, total // MOST_SLICES)
     if total <= limit:

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import collect_small, stored
+from ..session import collect_small, exactly, stored
 from .cells import MOST_PROPERTIES, cells
 
 COLUMN = {"Int": "v_int", "Float": "v_float", "Boolean": "v_bool", "String": "v_str"}
 
 
 def column_name(key: int, name: str | None) -> str:
-    """Column of a property; the key keeps equal and clashing names apart."""
-    return f"{'o' if key > 0 else 'a'}{abs(key)}_{name or ''}"
+    """Column of a property: its key keeps equal names apart, and only letters, digits and ``_`` of the name are kept."""
+    return f"{'o' if key > 0 else 'a'}{abs(key)}_{re.sub(r'[^A-Za-z0-9]', '_', name or '')}"
+
+
+def _registry(properties: DataFrame) -> list:
+    p = exactly(properties, "id", "data_type", "name").where(F.col("id").isNotNull())
+    return sorted(map(tuple, collect_small(p.groupBy("id").agg(F.min("data_type").alias("kind"), F.min("name").alias("name")), MOST_PROPERTIES)))
 
 
 def outer_join_all(tables: list[DataFrame], entity: str) -> DataFrame:
@@ -40,12 +47,14 @@ def wide_rows(event_data: DataFrame, properties: DataFrame) -> DataFrame:
     ``a`` action property) and the same with ``__cell``: ``ok``, ``repaired``,
     ``rejected`` (no readable row, value null) or null (no cell).  Events whose
     every key is unregistered have no row.  An empty table gives no row but all
-    columns.
+    columns; an empty registry only ``event_id`` and no row.
     """
-    registry = collect_small(properties.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("data_type").alias("kind"), F.min("name").alias("name")), MOST_PROPERTIES)
+    registry = _registry(properties)
+    if not registry:
+        return exactly(event_data, "event_id").where(F.lit(False))
     table, path = stored(cells(event_data, properties).select("event_id", *COLUMN.values(), "status", "key"), partition_by=["key"])
     narrow = []
-    for key, kind, name in sorted(registry):
+    for key, kind, name in registry:
         column = column_name(key, name)
         value = F.col(COLUMN[kind]) if kind in COLUMN else F.lit(None).cast("string")
         narrow.append(table.where(F.col("key") == key).select("event_id", value.alias(column), F.col("status").alias(f"{column}__cell")))
@@ -54,9 +63,11 @@ def wide_rows(event_data: DataFrame, properties: DataFrame) -> DataFrame:
 
 def cell_status(wide: DataFrame, properties: DataFrame) -> DataFrame:
     """``event_id, key, cell`` of the cells in a wide table that are not ``ok``."""
-    registry = collect_small(properties.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("name").alias("name")), MOST_PROPERTIES)
+    registry = _registry(properties)
+    if not registry:
+        return wide.select("event_id", F.lit(None).cast("int").alias("key"), F.lit(None).cast("string").alias("cell")).where(F.lit(False))
     found = [
         F.when(F.col(f"{column_name(k, n)}__cell").isin("rejected", "repaired"), F.struct(F.lit(k).cast("int").alias("key"), F.col(f"{column_name(k, n)}__cell").alias("cell")))
-        for k, n in sorted(registry)
+        for k, _, n in registry
     ]
     return wide.select("event_id", F.explode(F.array_compact(F.array(*found))).alias("c")).select("event_id", "c.key", "c.cell")

@@ -54,3 +54,15 @@ def collect_small(df: DataFrame, most: int = SMALL_ROWS) -> list:
     if len(rows) > most:
         raise ValueError(f"a table meant to be small has more than {most} rows")
     return rows
+
+
+def exactly(df: DataFrame, *names: str) -> DataFrame:
+    """Only the named columns, by exact name, whatever else the table has.
+
+    Further columns whose names differ in case only would otherwise make a
+    reference ambiguous.
+    """
+    found = df.columns
+    if missing := [n for n in names if n not in found]:
+        raise ValueError(f"missing columns: {missing}")
+    return df.toDF(*(n if n in names else f"_other_{i}" for i, n in enumerate(found))).select(*names)

@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import exactly
 from .text import code_points, letter_codes, letters
 
 #: Characters of a shingle.
@@ -182,8 +183,8 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 13) -> Dat
     Result: ``doc_id, item_id``.
     """
     spark = documents.sparkSession
-    docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text")
-    wanted = items.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select("item_id", "text")
+    docs = exactly(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+    wanted = exactly(items, "item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
     size = wanted.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     blocks = max(1, -(-2 * size // BLOCK_CHARS))
     result = None

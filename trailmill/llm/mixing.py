@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import collect_small, stored
+from ..session import collect_small, exactly, stored
 
 #: A public byte-level vocabulary as ranks; any file of that format can be named.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -102,14 +102,14 @@ def mix_sources(
     """
     spark = documents.sparkSession
     rows = collect_small(
-        targets.where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)), F.coalesce(F.max("max_repeats"), F.lit(0))), MOST_SOURCES
+        exactly(targets, "source", "target_share", "max_repeats").where(F.col("source").isNotNull()).groupBy("source").agg(F.coalesce(F.sum("target_share"), F.lit(0.0)), F.coalesce(F.max("max_repeats"), F.lit(0))), MOST_SOURCES
     )
     whole = sum(max(0.0, r[1]) for r in rows) or 1.0
     wanted = {r[0]: (max(0.0, r[1]) / whole, max(0, r[2])) for r in rows}
     schedule = schedule or ramps(wanted)
 
     names = spark.createDataFrame([(s,) for s in wanted], "source string")
-    chosen = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(names), "source")
+    chosen = exactly(documents, "doc_id", "source", "text").where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).join(F.broadcast(names), "source")
     sized, _ = stored(token_counts(chosen, vocabulary).where(F.col("tokens") > 0).withColumn("h", F.xxhash64("doc_id", F.lit(seed))))
     sized = sized.withColumn("bucket", F.shiftrightunsigned("h", 64 - bucket_bits))
     sums = collect_small(sized.groupBy("source", "bucket").agg(F.sum("tokens").alias("tokens")), len(wanted) << bucket_bits)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.paths import Slicing, path_order, plan_slices, sliced_events
-from ..session import collect_small
+from ..session import collect_small, exactly
 
 MINUTE = 60_000_000
 #: Registered actions that may be sent to all tasks: as many as ids of 16 bits.
@@ -20,7 +20,7 @@ def same_actions(actions: DataFrame) -> DataFrame:
     the first of them in order.
     """
     plain = F.lower(F.regexp_replace("name", "[^A-Za-z0-9]", ""))
-    named = actions.where(F.col("id").isNotNull() & F.col("name").isNotNull()).groupBy(F.col("id").alias("action_id")).agg(F.min(plain).alias("_plain"))
+    named = exactly(actions, "id", "name").where(F.col("id").isNotNull() & F.col("name").isNotNull()).groupBy(F.col("id").alias("action_id")).agg(F.min(plain).alias("_plain"))
     return named.withColumn("same", F.min("action_id").over(Window.partitionBy("_plain"))).select("action_id", "same")
 
 

@@ -224,7 +224,7 @@ def _mine(paths: DataFrame, least: int, gap: int, depth: int) -> dict[tuple, int
 
 
 def closed_patterns(
-    events: DataFrame, gap: int = 30 * MINUTE, share: int = 60, at_least: int = 3, slicing: Slicing | None = None, depth: int = 5
+    events: DataFrame, gap: int = 30 * MINUTE, share: int = 60, at_least: int = 3, slicing: Slicing | None = None, depth: int = 8
 ) -> DataFrame:
     """Closed patterns of actions in at least one of ``share`` paths, and in at least ``at_least``.
 

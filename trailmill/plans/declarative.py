@@ -36,6 +36,15 @@ class Site:
     writes: dict[str, tuple[Column, Column]] = field(default_factory=dict)  # value, whether written
 
 
+def added_to(e: Expr) -> tuple[Expr, list[tuple[str, Expr]]]:
+    """What a chain of ``+`` and ``-`` starts from, and its further terms in order."""
+    terms = []
+    while isinstance(e, Binary) and e.op in "+-":
+        terms.append((e.op, e.right))
+        e = e.left
+    return e, terms[::-1]
+
+
 def _both(a: Column | None, b: Column | None) -> Column | None:
     return b if a is None else a if b is None else a & b
 
@@ -126,9 +135,12 @@ class _Body:
         if kind not in SPARK:
             raise NotDeclarative(f"line {s.line}: a field of an object type")
         is_self = lambda e: isinstance(e, Member) and isinstance(e.base, Name) and env.get(e.base.name) is site and e.name == name
-        if isinstance(s.value, Binary) and s.value.op in "+-" and is_self(s.value.left):
-            form, value = "sum", cast(self.expr(s.value.right, env), s.value.right.type.name, kind)
-            value = -value if s.value.op == "-" else value
+        start, addends = added_to(s.value)
+        if addends and is_self(start):
+            form, value = "sum", None
+            for op, e in addends:
+                term = cast(self.expr(e, env), e.type.name, kind)
+                value = (-term if op == "-" else term) if value is None else binary(op, value, term, kind)
             # Within the site's own guard nothing more needs to be tested.
             value = value if guard is site.guard else F.when(guard, value).otherwise(F.lit(0).cast(SPARK[kind]))
             site.sums[name] = site.sums[name] + value if name in site.sums else value

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from ..functions.semantics import wrapping
 from ..types import ZERO
 from .check import EVENT, RESULT, Program
+from .declarative import added_to
 from .syntax import (
     ArrayOf, Assign, Binary, Call, ClassDef, Expr, ExprStmt, ForEach, If, Lambda, Literal, Member, Name, Node, Return, Type, VarDecl,
 )
@@ -292,10 +293,10 @@ def additive(program: Program) -> bool:
     for s in every:
         if isinstance(s, VarDecl) and s.type == RESULT and isinstance(s.init, Call) and isinstance(s.init.base, Name) and s.init.base.name == "data" and s.init.name == "get":
             allowed |= {id(s.init.base), id(s.init)}
-        if isinstance(s, Assign) and isinstance(s.target, Member) and s.target.base.type == RESULT and isinstance(s.value, Binary) and s.value.op in "+-":
-            own, left = s.target, s.value.left
+        if isinstance(s, Assign) and isinstance(s.target, Member) and s.target.base.type == RESULT:
+            own, (left, terms) = s.target, added_to(s.value)
             same = isinstance(left, Member) and isinstance(own.base, Name) and isinstance(left.base, Name) and own.base.name == left.base.name and own.name == left.name
-            if same and own.name != program.key:
+            if terms and same and own.name != program.key:
                 allowed |= {id(own), id(own.base), id(left), id(left.base)}
     for e in every:
         touches = isinstance(e, Expr) and (e.type == RESULT or e.type.name == "Map" or isinstance(e, Member) and e.base.type == RESULT)

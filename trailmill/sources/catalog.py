@@ -228,7 +228,7 @@ class Table:
     def state_at(self, at: int) -> DataFrame:
         return state_at(self.events(), at, self.kinds()[0])
 
-    def path(self, object_id: int) -> DataFrame:
+    def events_of(self, object_id: int) -> DataFrame:
         return self.events().where(F.col("object_id") == object_id).orderBy("ts", F.col("seq").desc())
 
     def transitions(self) -> DataFrame:

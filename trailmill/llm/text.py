@@ -17,7 +17,7 @@ def _fold_table() -> np.ndarray:
     """For each code point the folded letter or digit, 0 if it is neither, or ``HARD``.
 
     Built from the Unicode data at hand: NFKC, case folding and NFKC again.
-    Combining marks may join the letter before them, and some characters
+    Marks and Hangul parts may join the letter before them, and some characters
     become several; both are left to the slow way.
     """
     global _FOLD, _ALNUM
@@ -26,12 +26,13 @@ def _fold_table() -> np.ndarray:
         table = np.zeros(sys.maxunicode + 1, np.uint32)
         for i in range(sys.maxunicode + 1):
             c = chr(i)
-            if unicodedata.combining(c) or 0x1100 <= i <= 0x11FF:
-                table[i] = HARD
-                continue
             if i > 0x7F and unicodedata.category(c) in ("Cn", "Co", "Cs"):
                 continue
-            out = [x for x in fold(c) if x.isalnum()]
+            whole = fold(c)
+            if any(unicodedata.category(x)[0] == "M" or 0x1100 <= ord(x) <= 0x11FF for x in whole):
+                table[i] = HARD
+                continue
+            out = [x for x in whole if x.isalnum()]
             table[i] = 0 if not out else ord(out[0]) if len(out) == 1 else HARD
         _FOLD = table
     return _FOLD

@@ -1,0 +1,27 @@
+"""Registered queries of the subpackage against their SQL on the smallest tables."""
+
+import os
+import sys
+
+import pytest
+
+sys.path.insert(0, os.path.dirname(os.path.dirname(__file__)))
+from test_queries import DATA, con, rows  # noqa: E402, F401
+
+from trailmill.llm.queries import QUERIES  # noqa: E402
+from trailmill.llm.sql import SQL  # noqa: E402
+
+pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
+def test_same_as_sql(spark, con, name):  # noqa: F811
+    got, want = QUERIES[name](spark, DATA), con.execute(SQL[name])
+    columns = [d[0] for d in want.description]
+    assert sorted(got.columns) == sorted(columns)
+    assert rows(got.columns, got.collect()) == rows(columns, want.fetchall())
+
+
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
+def test_others_run(spark, name):
+    QUERIES[name](spark, DATA).count()

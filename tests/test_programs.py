@@ -71,6 +71,44 @@ def test_both_ways_agree(events, body):
     both(events, body)
 
 
+def random_program(r):
+    """Statements of the declarative kind, nested at random."""
+    ints, floats, bools = ["e.level", "e.n", "e.actionId"], ["e.score", "e.w"], ["e.on", "e.flag"]
+
+    def number(depth=2):
+        if depth and r.random() < 0.6:
+            return f"({number(depth - 1)} {r.choice('+-*/')} {number(depth - 1)})"
+        return r.choice([*ints, *floats, str(r.randrange(5)), "1.5"])
+
+    def integer():
+        return f"({r.choice(ints)} {r.choice('+-*/')} {number(1)})"
+
+    def truth():
+        return r.choice([*bools, f"{integer()} == {r.randrange(4)}", f"{r.choice(floats)} == {number(1)}", f"{r.choice(bools)} == {r.choice(bools)}", 'e.plan.equals("a")'])
+
+    def act(v):
+        return r.choice([f"{v}.count = {v}.count + 1;", f"{v}.total = {v}.total {r.choice('+-')} {number()};", f"{v}.sum = {v}.sum + {r.choice(floats)};", f"{v}.last = {integer()};"])
+
+    def block(depth, v):
+        out = []
+        for _ in range(r.randrange(1, 4)):
+            if depth and r.random() < 0.35:
+                out.append(f"if ({truth()}) {{ {block(depth - 1, v)} }} else {{ {block(depth - 1, v)} }}")
+            elif r.random() < 0.2:
+                w = f"v{r.randrange(10**6)}"
+                out.append(f"Result {w} = data.get({integer()}); {act(w)}")
+            else:
+                out.append(act(v))
+        return " ".join(out)
+
+    return f"Result r = data.get({r.choice(ints)}); {block(2, 'r')}"
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_random_programs_agree(events, seed):
+    both(events, random_program(random.Random(seed)))
+
+
 def test_values(events):
     rows = sorted(sample(), key=lambda r: (r[0], r[1], -r[2]))
     want, level, obj = {}, 0, None

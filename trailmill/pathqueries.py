@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.semantics import cast, iso_micros, wrapping
+from .operators.edit import file_ranges, insert_events, remove_events, scan_paths, set_property, unset_property
 from .operators.paths import micros, plan_slices
 from .operators.state import path_lengths, state_at, transitions, with_state
 from .plans import run
@@ -156,6 +157,30 @@ def stream_action_count(spark: SparkSession, d: str) -> DataFrame:
     return spark.table(name).select(F.col("action_id").alias("event_type"), "n")
 
 
+def event_scan(spark: SparkSession, d: str) -> DataFrame:
+    p = paths(spark, d)
+    return scan_paths(p, slicing=plan_slices(p, time="ts")).select("object_id", "position", "seq", "action_id")
+
+
+def event_insert_remove(spark: SparkSession, d: str) -> DataFrame:
+    """Every fourth event taken out, every eighth put back, and one half of these twice."""
+    p = paths(spark, d)
+    kept = remove_events(p, p.where(F.col("seq") % 4 == 0))
+    back = p.where(F.col("seq") % 8 == 0)
+    return path_lengths(insert_events(kept, back.unionByName(p.where(F.col("seq") % 16 == 0)).unionByName(p.where(F.col("seq") % 4 == 1)))).select("object_id", "n")
+
+
+def event_set_unset(spark: SparkSession, d: str) -> DataFrame:
+    p = set_property(paths(spark, d), "level", 7, F.col("action_id") == 1)
+    p = unset_property(p, "level", F.col("level") > 50)
+    return with_state(p, {"level": "Int"}, {}, slicing=plan_slices(p, time="ts")).select("seq", "level")
+
+
+def block_ranges(spark: SparkSession, d: str) -> DataFrame:
+    files = file_ranges(paths(spark, d))
+    return files.agg(F.min("min_object_id").alias("min_object_id"), F.max("max_object_id").alias("max_object_id"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("n").alias("n"))
+
+
 def synthetic_paths(spark: SparkSession, d: str) -> DataFrame:
     """Paths of the generator, one for each user of the table's size class."""
     return path_lengths(generate_events(prepare(spark), paths=1_000, average_events=10, actions=100, seed=7)).select("object_id", "n")
@@ -168,7 +193,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             action_registry, step_counts, path_length, event_state, event_state_fifo, event_state_lifo, property_zero_defaults, state_at_time,
-            bool_from_number, timestamp_parse, table_append, stream_action_count, synthetic_paths,
+            bool_from_number, timestamp_parse, event_scan, event_insert_remove, event_set_unset, block_ranges, table_append, stream_action_count, synthetic_paths,
         )
     },
 }
@@ -225,6 +250,11 @@ SELECT object_id, coalesce(last(level ORDER BY ts, seq DESC) FILTER (level IS NO
   coalesce(last(plan ORDER BY ts, seq DESC) FILTER (plan IS NOT NULL), '') AS plan FROM u GROUP BY object_id""",
     "bool_from_number": f"WITH {PATHS} SELECT seq, (level & 1) = 1 AS of_int, (trunc(amount)::BIGINT & 1) = 1 AS of_float, flag::BIGINT AS to_int FROM p",
     "timestamp_parse": "SELECT event_id, epoch_us(date_trunc('second', ts)) AS ts, NULL::BIGINT AS bad FROM events",
+    "event_scan": f"WITH {PATHS} SELECT object_id, row_number() OVER (PARTITION BY object_id ORDER BY ts, seq DESC) AS position, seq, action_id FROM p",
+    "event_insert_remove": "SELECT user_id AS object_id, count(*) AS n FROM events WHERE event_id % 4 <> 0 OR event_id % 8 = 0 GROUP BY 1",
+    "event_set_unset": f"""WITH {PATHS}, q AS (SELECT object_id, ts, seq, CASE WHEN action_id = 1 THEN 7 ELSE level END AS level FROM p), u AS (SELECT * REPLACE (CASE WHEN level > 50 THEN NULL ELSE level END AS level) FROM q)
+SELECT seq, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY ts, seq DESC ROWS UNBOUNDED PRECEDING), 0) AS level FROM u""",
+    "block_ranges": "SELECT min(user_id) AS min_object_id, max(user_id) AS max_object_id, epoch_us(min(ts)) AS min_ts, epoch_us(max(ts)) AS max_ts, count(*) AS n FROM events",
     "table_append": f"{STATE} SELECT object_id, count(*) AS n, sum(level)::BIGINT AS levels, max(plan) AS plan FROM s WHERE object_id > 0 GROUP BY object_id",  # a table takes objects above 0 only
     "stream_action_count": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 }

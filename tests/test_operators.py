@@ -14,6 +14,7 @@ from trailmill.operators.features import apply_deltas, deltas, feature_columns,
 from trailmill.operators.history import attribute_history, diff_snapshots, snapshot_history
 from trailmill.operators.paths import Slicing, plan_slices, valid_events
 from trailmill.operators.sessions import sessions
+from trailmill.session import exactly
 from trailmill.operators.wide import cell_status, outer_join_all, wide_rows
 
 MINUTE = 60_000_000
@@ -176,6 +177,27 @@ def test_snapshot_history(spark):
     assert got == sorted([("a", 1, 1, 3), ("a", 2, 3, None), ("b", 5, 1, 2), ("b", 5, 3, None), ("c", None, 3, None)], key=repr)
 
 
+def test_piled_events(sample, monkeypatch):
+    """Events with very many deliveries travel another way to the same results."""
+    from trailmill.operators import paths
+
+    e, d, p = sample[2:5]
+    e = exactly(e, "event_id", "object_id", "timestamp", "seq", "action_id")
+    d = exactly(d, "event_id", "idx", "key", "data_type", "int_value", "float_value", "boolean_value", "string_value")
+    pile = e.where("event_id = 5")
+    copies = d.where("event_id = 5")
+    for _ in range(5):
+        pile, copies = pile.unionByName(pile), copies.unionByName(copies)
+    e, d = e.unionByName(pile), d.unionByName(copies)
+    compute = lambda: [rows(x) for x in (valid_events(e), feature_table(e), cells(d, p), attribute_history(e, d, p, Slicing()).drop("v_float"))]
+    want = compute()
+    assert paths.piled_keys(e, "event_id") == []
+    monkeypatch.setattr(paths, "SLICE_ROWS", 10)
+    monkeypatch.setattr(paths, "PILE_LEAST", 8)
+    assert 5 in paths.piled_keys(e, "event_id") and 5 in paths.piled_keys(d, "event_id")
+    assert compute() == want
+
+
 def test_empty_tables(spark):
     e, d, p, _ = samples.frames(spark, [], [])
     assert sessions(e).count() == feature_table(e).count() == attribute_history(e, d, p).count() == known_attributes(e, d, p, [1]).count() == 0

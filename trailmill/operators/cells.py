@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import exactly
+from .paths import piled_keys
 
 #: Registered properties that may be sent to all tasks: ids of 8 bits.
 MOST_PROPERTIES = 256
@@ -52,7 +53,8 @@ def typed_columns(kind: Column) -> dict[str, Column]:
 def registered(event_data: DataFrame, properties: DataFrame, objects_only: bool = False) -> DataFrame:
     """Attribute rows of registered keys with the registered type ``kind``.
 
-    Rows without event or with a key nobody registered are left out.  The
+    Rows without event or with a key nobody registered are left out.  Copies of
+    the rows of an event that has very many are dropped before any shuffle.  The
     registry is broadcast: ids have 8 bits, and the size is checked.
     """
     p = exactly(properties, "id", "data_type").where(F.col("id").isNotNull() & (F.col("id") > 0 if objects_only else F.lit(True)))
@@ -60,7 +62,11 @@ def registered(event_data: DataFrame, properties: DataFrame, objects_only: bool
     if len(table) > MOST_PROPERTIES:
         raise ValueError(f"more than {MOST_PROPERTIES} registered properties")
     small = event_data.sparkSession.createDataFrame(table, "key int, kind string")
-    rows = exactly(event_data, "event_id", "idx", "key", "data_type", *VALUES.values()).where(F.col("event_id").isNotNull())
+    rows = exactly(event_data, "event_id", "idx", "key", "data_type", *VALUES.values())
+    piled = piled_keys(rows, "event_id")
+    rows = rows.where(F.col("event_id").isNotNull())
+    if piled:
+        rows = rows.where(~F.col("event_id").isin(piled)).unionByName(rows.where(F.col("event_id").isin(piled)).distinct())
     return rows.join(F.broadcast(small), "key")
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import exactly, prepare
-from .paths import micros
+from .paths import first_deliveries, micros, piled_keys
 
 KEYS = ["object_id", "action_id"]
 
@@ -21,12 +21,16 @@ def usable() -> Column:
 def _rows(events: DataFrame) -> DataFrame:
     prepare(events.sparkSession)
     events = exactly(events, "event_id", "object_id", "timestamp", "seq", "action_id")
-    return events.where(F.col("event_id").isNotNull()).select("event_id", "object_id", micros("timestamp").alias("ts"), "seq", "action_id")
+    rows = events.where(F.col("event_id").isNotNull()).select("event_id", "object_id", micros("timestamp").alias("ts"), "seq", "action_id")
+    return first_deliveries(rows, piled_keys(events, "event_id"))
 
 
 def delivered(events: DataFrame) -> DataFrame:
     """Usable deliveries; ``counts`` tells whether the row is the event or a later delivery of it."""
-    rows = _rows(events)
+    return _marked(_rows(events))
+
+
+def _marked(rows: DataFrame) -> DataFrame:
     first = Window.partitionBy("event_id").orderBy(
         F.col("seq").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("object_id").asc_nulls_last(), F.col("action_id").asc_nulls_last()
     )
@@ -73,7 +77,7 @@ def feature_table(events: DataFrame) -> DataFrame:
     """Count, last event and its time of each action in each object's path.
 
     Every usable delivery is inserted as it comes, combined before the
-    shuffle; deliveries that turn out not to be their event's first are then
+    shuffle (of an event delivered extremely often only the first); deliveries that turn out not to be their event's first are then
     retracted.  So the events themselves are never regrouped by object: only
     the few groups whose latest row was retracted are looked up again.
 
@@ -82,8 +86,9 @@ def feature_table(events: DataFrame) -> DataFrame:
 
     Result: ``object_id, action_id, n, last_ts, last_event_id``.
     """
-    marked = delivered(events)
-    inserted = deltas(_rows(events).where(usable()), 1)
+    rows = _rows(events)
+    marked = _marked(rows)
+    inserted = deltas(rows.where(usable()), 1)
     retracted = deltas(marked.where(~F.col("counts")), -1)
     found = apply_deltas(inserted, retracted, marked.where("counts"))
     return found.select(*KEYS, "n", F.col("last.ts").alias("last_ts"), F.col("last.event_id").alias("last_event_id"))

@@ -20,6 +20,8 @@ from ..session import exactly, prepare
 
 #: Rows of one object that a single window partition may hold.
 SLICE_ROWS = 100_000
+#: Rows looked at for keys with very many rows, and how many of them such a key has.
+PILE_SAMPLE, PILE_LEAST = 100_000, 50
 #: Slices that all long paths together may have; with it the table of cuts stays small.
 MOST_SLICES = 2_048
 
@@ -29,6 +31,29 @@ def micros(column: str | Column) -> Column:
     return F.unix_micros(F.col(column).cast("timestamp") if isinstance(column, str) else column.cast("timestamp"))
 
 
+def piled_keys(rows: DataFrame, key: str) -> list[int]:
+    """Values of ``key`` so frequent that their rows must be reduced before a shuffle by it.
+
+    Looked for in a sample of about ``PILE_SAMPLE`` rows, of which each value
+    found has ``PILE_LEAST``, so the list is bounded.  It only decides how rows
+    travel; results do not depend on it.
+    """
+    total = rows.count()  # answered from Parquet footers
+    if total <= SLICE_ROWS:
+        return []
+    sample = rows.select(key).sample(min(1.0, PILE_SAMPLE / total), seed=1)
+    return [r[0] for r in sample.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= PILE_LEAST).collect()]
+
+
+def first_deliveries(rows: DataFrame, piled: list[int]) -> DataFrame:
+    """``rows`` (``event_id, object_id, ts, seq, action_id``) with only the first delivery of the events in ``piled``."""
+    if not piled:
+        return rows
+    order = [c for n in ("seq", "ts", "object_id", "action_id") for c in (F.col(n).isNull().alias(f"no_{n}"), F.col(n))]
+    first = rows.where(F.col("event_id").isin(piled)).groupBy("event_id").agg(F.min(F.struct(*order)).alias("r"))
+    return rows.where(~F.col("event_id").isin(piled)).unionByName(first.select("event_id", "r.object_id", "r.ts", "r.seq", "r.action_id"))
+
+
 def valid_events(events: DataFrame) -> DataFrame:
     """``event_id, object_id, ts, seq, action_id`` of every valid event.
 
@@ -37,14 +62,16 @@ def valid_events(events: DataFrame) -> DataFrame:
     time, object and action, so the result is defined).  It is dropped if its
     object is missing or not above 0, or its time is missing; the other
     deliveries never take its place.  Rows without ``event_id`` are no events.
-    Columns beyond those needed are ignored; an empty table gives an empty
-    result.
+    Events delivered so often that they would fill a task are reduced before
+    the shuffle.  Columns beyond those needed are ignored; an empty table gives
+    an empty result.
     """
     prepare(events.sparkSession)
     events = exactly(events, "event_id", "object_id", "timestamp", "seq", "action_id")
     rows = events.where(F.col("event_id").isNotNull()).select(
         "event_id", "object_id", micros("timestamp").alias("ts"), "seq", "action_id"
     )
+    rows = first_deliveries(rows, piled_keys(events, "event_id"))
     deliveries = Window.partitionBy("event_id").orderBy(
         F.col("seq").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("object_id").asc_nulls_last(), F.col("action_id").asc_nulls_last()
     )

@@ -184,11 +184,8 @@ def test_piled_events(sample, monkeypatch):
     e, d, p = sample[2:5]
     e = exactly(e, "event_id", "object_id", "timestamp", "seq", "action_id")
     d = exactly(d, "event_id", "idx", "key", "data_type", "int_value", "float_value", "boolean_value", "string_value")
-    pile = e.where("event_id = 5")
-    copies = d.where("event_id = 5")
-    for _ in range(5):
-        pile, copies = pile.unionByName(pile), copies.unionByName(copies)
-    e, d = e.unionByName(pile), d.unionByName(copies)
+    times = e.sparkSession.range(0, 32, 1, 1).withColumnRenamed("id", "_n")
+    e, d = (x.unionByName(x.where("event_id = 5").coalesce(1).crossJoin(times).drop("_n")).coalesce(4).cache() for x in (e, d))
     compute = lambda: [rows(x) for x in (valid_events(e), feature_table(e), cells(d, p), attribute_history(e, d, p, Slicing()).drop("v_float"))]
     want = compute()
     assert paths.piled_keys(e, "event_id") == []

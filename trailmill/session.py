@@ -65,4 +65,7 @@ def exactly(df: DataFrame, *names: str) -> DataFrame:
     found = df.columns
     if missing := [n for n in names if n not in found]:
         raise ValueError(f"missing columns: {missing}")
+    lower = [n.lower() for n in found]
+    if all(lower.count(n.lower()) == 1 for n in names):
+        return df.select(*names)  # new names would keep Spark from seeing that two shuffles are the same
     return df.toDF(*(n if n in names else f"_other_{i}" for i, n in enumerate(found))).select(*names)

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from ..session import collect_small, exactly, stored
 from .cells import MOST_PROPERTIES, cells
 
+#: Attributes joined in one plan.
+GROUP = 8
 COLUMN = {"Int": "v_int", "Float": "v_float", "Boolean": "v_bool", "String": "v_str"}
 
 
@@ -58,7 +60,12 @@ def wide_rows(event_data: DataFrame, properties: DataFrame) -> DataFrame:
         column = column_name(key, name)
         value = F.col(COLUMN[kind]) if kind in COLUMN else F.lit(None).cast("string")
         narrow.append(table.where(F.col("key") == key).select("event_id", value.alias(column), F.col("status").alias(f"{column}__cell")))
-    return outer_join_all(narrow, "event_id")
+    # A tree of all attributes is one plan that Spark plans again after each of
+    # its many stages; branches of GROUP attributes are written on the way.
+    branches = [outer_join_all(narrow[i : i + GROUP], "event_id") for i in range(0, len(narrow), GROUP)]
+    if len(branches) > 1:
+        branches = [stored(b)[0] for b in branches]
+    return outer_join_all(branches, "event_id")
 
 
 def cell_status(wide: DataFrame, properties: DataFrame) -> DataFrame:

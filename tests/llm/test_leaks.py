@@ -4,6 +4,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trailmill.llm import leaks
@@ -64,3 +65,15 @@ def test_leaks(spark, monkeypatch, block):
     got = list(map(tuple, leaks.leaked_items(d, e).collect()))
     assert set(got) == want and len(got) == len(want) and (94, "ones") in want and len(want) > 8
     assert leaks.leaked_items(d.where("false"), e).count() == leaks.leaked_items(d, e.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("between", [["a"], ["."], ["a", "", "b"]])
+def test_passage_after_short_texts(between):
+    """Texts are hashed together; a run of equal MinHashes that began before a short text hides nothing after it."""
+    r = random.Random(5)
+    items = [(f"i{k}", sentence(r, 13)) for k in range(40)]
+    texts = [x for _, t in items for x in (sentence(r, 40), *between, t)]
+    index = leaks.PassageIndex(items, 13)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    got = {x for b in leaks._search(index)([batch]) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    assert got == {(d, i) for d, t in enumerate(texts) for i, p in items if letters(p) in letters(t)} and len(got) >= 40

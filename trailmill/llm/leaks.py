@@ -98,8 +98,11 @@ class PassageIndex:
             seen[hashes >> np.uint64(64 - _BITS)] = True
             self.sizes[size] = (hashes, seen)
 
-    def candidates(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
-        """Known MinHashes of the windows of a text: hashes, places, size."""
+    def candidates(self, codes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """Known MinHashes of the windows of texts that begin at ``starts``: hashes, places, size.
+
+        Of a run of equal ones in a text there is the first.
+        """
         overlap = max(self.sizes, default=SHINGLE) - 1
         for begin in range(0, max(1, len(codes) - overlap), CHUNK):
             h = shingle_hashes(codes[begin : begin + CHUNK + overlap])
@@ -107,7 +110,9 @@ class PassageIndex:
                 m = window_minima(h, size - SHINGLE + 1)
                 if not len(m):
                     continue
-                at = np.flatnonzero(np.r_[True, m[1:] != m[:-1]])  # neighbouring windows mostly share their least shingle
+                new = np.r_[True, m[1:] != m[:-1]]  # neighbouring windows mostly share their least shingle
+                new[starts[(starts >= begin) & (starts < begin + len(m))] - begin] = True
+                at = np.flatnonzero(new)
                 m = m[at]
                 maybe = np.flatnonzero(seen[m >> np.uint64(64 - _BITS)])
                 if len(maybe):
@@ -132,11 +137,10 @@ def _search(index: PassageIndex):
                 # Short texts are hashed together.  Windows across two texts cost a look at worst.
                 bounds = np.cumsum([len(c) for c in gather])
                 wanted = defaultdict(set)
-                for hashes, places, size in index.candidates(np.concatenate(gather)):
+                for hashes, places, size in index.candidates(np.concatenate(gather), np.r_[0, bounds[:-1]]):
                     doc = np.searchsorted(bounds, places, "right")
-                    for h, d in set(zip(hashes.tolist(), np.minimum(doc, len(gather) - 1).tolist())):
-                        for k in (d, min(d + 1, len(gather) - 1)):
-                            wanted[k].add((size, h))
+                    for h, d in set(zip(hashes.tolist(), doc.tolist())):
+                        wanted[d].add((size, h))
                 for d, keys in wanted.items():
                     text = gather[d].tobytes().decode("utf-32-le", "surrogatepass")
                     for size, h in keys:

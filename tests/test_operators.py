@@ -152,6 +152,19 @@ def test_known_attributes(sample, slicing):
     assert len(want) > 50
 
 
+def test_known_attributes_without_seq(spark):
+    """Purchases that set a key whose updates all lack ``seq`` stand at themselves, however long the path."""
+    at = lambda i: samples.START + samples.timedelta(minutes=i)
+    e, d, p, _ = samples.frames(spark, [(i, 7, at(i), 1 if i % 3 == 0 else 2, at(i), None if i % 4 == 0 else i) for i in range(100)],
+        [(i, 0, 1 if i % 4 == 0 else 2, "Int", i, None, None, None) for i in range(100) if i % 4 == 0 or i % 7 == 0])
+    slicing = plan_slices(e, 25)
+    assert len(slicing.cuts[7]) >= 2
+    found = [rows(known_attributes(e, d, p, [1], s, shard_rows=100).select("event_id", "key", "source_event_id")) for s in (Slicing(), slicing)]
+    own = [(i, 1, i) for i in range(0, 100, 12)]
+    other = [(i, 2, max(u for u in range(i + 1) if u % 7 == 0 and u % 4)) for i in range(9, 100, 3) if i % 4]
+    assert found[0] == found[1] == sorted(own + other, key=repr)
+
+
 def test_persistent_tree():
     import numpy as np
 

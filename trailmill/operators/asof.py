@@ -177,7 +177,7 @@ def known_attributes(
 
     spread = slicing.add(rows.where(long))
     firsts = (
-        spread.where(~F.col("is_query") & F.col("seq").isNotNull()).groupBy("object_id", "key", "slice").agg(F.min("seq").alias("least"))
+        spread.where(~F.col("is_query")).groupBy("object_id", "key", "slice").agg(F.min("seq").alias("least"))  # null if no other event could know one
         .groupBy("object_id", "key").agg(F.collect_list(F.struct("slice", "least")).alias("slices"))
     )
     # At most MOST_SLICES slices of the registered keys; MOST_PROPERTIES keys.

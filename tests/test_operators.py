@@ -14,6 +14,7 @@ from trailmill.operators.features import apply_deltas, deltas, feature_columns,
 from trailmill.operators.history import attribute_history, diff_snapshots, snapshot_history
 from trailmill.operators.paths import Slicing, plan_slices, valid_events
 from trailmill.operators.sessions import sessions
+from trailmill.queries import QUERIES
 from trailmill.session import exactly
 from trailmill.operators.wide import cell_status, outer_join_all, wide_rows
 
@@ -220,3 +221,10 @@ def test_empty_tables(spark):
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="seq"):
         valid_events(samples.frames(spark, [], [])[0].drop("seq"))
+
+
+def test_shares_of_rows(spark, tmp_path):
+    at = lambda i: samples.START + samples.timedelta(minutes=i)
+    e, *_ = samples.frames(spark, [(1, 7, at(0), 2, at(0), 1), (2, 7, at(3), 2, at(3), 2), (3, 7, at(4), 3, at(4), 3), (4, 7, at(9), 0, at(9), 4), (1, 7, at(8), 2, at(8), 5), (5, 8, at(1), 2, at(1), 6)], [])
+    exactly(e, "event_id", "object_id", "timestamp", "seq", "action_id").write.parquet(f"{tmp_path}/sky_event.parquet")
+    assert rows(QUERIES["p7_shares"](spark, str(tmp_path))) == [(7, 2, 2, 2 / 3, MINUTE), (7, 3, 1, 1 / 3, 0), (8, 2, 1, 1.0, 0)]

@@ -62,10 +62,16 @@ def p7_rows(spark: SparkSession, d: str) -> DataFrame:
     return feature_rows(feature_table(load(spark, d, "sky_event"))).select("object_id", "n_actions", "n_kinds", "last_ts")
 
 
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The map of features in the row per object, entry by entry."""
+    found = feature_rows(feature_table(load(spark, d, "sky_event")))
+    return found.select("object_id", F.explode("features").alias("action_id", "f")).select("object_id", "action_id", "f.n", "f.share", "f.age_us")
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(load(spark, d, "sky_event")).select("object_id", "action_id", "last_event_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p3_found, p3_wide, p5_found, p5_history, p6_found, p6_sessions, p7_found, p7_features, p7_rows)
+    f.__name__: f for f in (p1_found, p3_found, p3_wide, p5_found, p5_history, p6_found, p6_sessions, p7_found, p7_features, p7_rows, p7_shares)
 }

@@ -76,4 +76,6 @@ SELECT event_id, key, source_event_id FROM known WHERE rn = 1""",
     "p7_found": f"{FEATURES} SELECT object_id, action_id, last_event_id FROM features",
     "p7_features": f"{FEATURES} SELECT * FROM features",
     "p7_rows": f"{FEATURES} SELECT object_id, sum(n)::BIGINT AS n_actions, count(*) AS n_kinds, max(last_ts) AS last_ts FROM features GROUP BY object_id",
+    "p7_shares": f"""{FEATURES} SELECT object_id, action_id, n, n::DOUBLE / sum(n) OVER (PARTITION BY object_id) AS share,
+  max(last_ts) OVER (PARTITION BY object_id) - last_ts AS age_us FROM features""",
 }

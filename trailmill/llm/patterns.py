@@ -9,11 +9,13 @@ from the closed ones: a part's support is the greatest among the closed
 patterns that contain it.
 
 Paths are packed once into arrays, one row per path or per slice of a long
-one, and written to the shared folder.  Patterns then grow by one step per
-pass.  A pass sends the candidates, split by first item, to the paths; a
-pattern's pseudo-projection is the array of positions at which it ends, from
-which the next step's ends are found by binary search.  Nothing is copied per
-pattern, and only counts leave a task.
+one, and written to the shared folder.  Mining is level-wise, one step more
+per pass: candidates are joined from frequent prefixes and suffixes on the
+driver and sent to the paths.  There each pass walks them again from their first
+item, one first item at a time, by the arrays of positions at which a prefix ends
+and binary search for the next step's ends; these positions are not carried
+from pass to pass.  Nothing is copied per pattern, and only counts leave a
+task.
 """
 
 from __future__ import annotations
@@ -232,9 +234,10 @@ def closed_patterns(
     action before it.  ``depth`` is only a first guess of how long patterns
     get; if longer ones are frequent, the paths are packed anew.
 
-    Growth is by bidirectional checks over ends: an extension that keeps the
-    support at either side makes a pattern not closed, and a prefix that has
-    the same step before it at all its ends is not grown (backscan).
+    Candidates grow by level.  A prefix that has the same step before it at
+    all its ends is not grown (backscan); that is the only check of closure
+    on the way.  Which patterns are closed is decided afterwards on the driver:
+    one with a longer pattern of the same support around it is not.
 
     Repeated deliveries and events without object, time or action never count;
     equal times follow path order; an empty table gives no pattern.

@@ -15,6 +15,7 @@ from trailmill.operators.history import attribute_history, diff_snapshots, snaps
 from trailmill.operators.paths import Slicing, plan_slices, valid_events
 from trailmill.operators.sessions import sessions
 from trailmill.queries import QUERIES
+from trailmill import session
 from trailmill.session import exactly
 from trailmill.operators.wide import cell_status, outer_join_all, wide_rows
 
@@ -36,7 +37,7 @@ def slicing(request, sample):
     if not request.param:
         return Slicing()
     s = plan_slices(sample[2], request.param)
-    assert len(s.cuts[7]) >= 2
+    assert s.slices >= 3
     return s
 
 
@@ -182,7 +183,7 @@ def test_known_attributes_without_seq(spark):
     e, d, p, _ = samples.frames(spark, [(i, 7, at(i), 1 if i % 3 == 0 else 2, at(i), None if i % 4 == 0 else i) for i in range(100)],
         [(i, 0, 1 if i % 4 == 0 else 2, "Int", i, None, None, None) for i in range(100) if i % 4 == 0 or i % 7 == 0])
     slicing = plan_slices(e, 25)
-    assert len(slicing.cuts[7]) >= 2
+    assert slicing.slices >= 3
     found = [rows(known_attributes(e, d, p, [1], s, shard_rows=100).select("event_id", "key", "source_event_id")) for s in (Slicing(), slicing)]
     own = [(i, 1, i) for i in range(0, 100, 12)]
     other = [(i, 2, max(u for u in range(i + 1) if u % 7 == 0 and u % 4)) for i in range(9, 100, 3) if i % 4]
@@ -226,10 +227,13 @@ def test_piled_events(sample, monkeypatch):
     compute = lambda: [rows(x) for x in (valid_events(e), feature_table(e), cells(d, p), attribute_history(e, d, p, Slicing()).drop("v_float"))]
     want = compute()
     assert paths.piled_keys(e, "event_id") == []
-    monkeypatch.setattr(paths, "SLICE_ROWS", 10)
+    monkeypatch.setattr(paths, "PILE_ROWS", 10)
     monkeypatch.setattr(paths, "PILE_LEAST", 8)
     assert 5 in paths.piled_keys(e, "event_id") and 5 in paths.piled_keys(d, "event_id")
     assert compute() == want
+    monkeypatch.setattr(paths, "MOST_PILES", 0)
+    assert paths.piled_keys(e, "event_id") is None
+    assert compute() == want
 
 
 def test_empty_tables(spark):
@@ -241,6 +245,23 @@ def test_empty_tables(spark):
     assert wide_rows(d, none).columns == ["event_id"] and cell_status(wide_rows(d, none), none).count() == 0
 
 
+def test_slices_are_cut_again(spark, monkeypatch):
+    """A path of more slices than one level of cuts gives, with cuts from the driver or from a stored table."""
+    from trailmill.operators import paths
+
+    e = spark.range(0, 500, 1, 2).select(F.lit(7).alias("object_id"), (F.col("id") * 10).alias("ts")).unionByName(spark.range(5).select((F.col("id") + 20).alias("object_id"), F.lit(1).alias("ts")))
+    e = e.unionByName(spark.range(40).select(F.lit(7).alias("object_id"), F.lit(0).alias("ts")))  # more equal times than a slice has rows
+    monkeypatch.setattr(paths, "FAN", 4)
+    for most in (20_000, 3):
+        monkeypatch.setattr(paths, "small_or_stored", lambda df, most=most: session.small_or_stored(df, most))
+        s = plan_slices(e, 20, time="ts")
+        got = s.add(e).groupBy("object_id", "slice").agg(F.count("*").alias("n"), F.min("ts").alias("lo"), F.max("ts").alias("hi")).collect()
+        parts = sorted((r.slice, r.lo, r.hi, r.n) for r in got if r.object_id == 7)
+        assert len(s.levels) > 1 and 25 <= len(parts) <= s.slices
+        assert all(n <= 20 or lo <= 0 <= hi and n <= 60 for _, lo, hi, n in parts) and all(a[2] < b[1] for a, b in zip(parts, parts[1:])) and parts[0][0] >= 1
+        assert {r.slice for r in got if r.object_id != 7} == {0}
+
+
 def test_missing_column_is_named(spark):
     with pytest.raises(ValueError, match="seq"):
         valid_events(samples.frames(spark, [], [])[0].drop("seq"))

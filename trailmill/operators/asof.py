@@ -9,14 +9,19 @@ the last update of valid time before its own.
 
 from __future__ import annotations
 
+from collections import defaultdict
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import readable_cells
-from .paths import SLICE_ROWS, Slicing, plan_slices, valid_events
+from ..session import stored
+from .cells import MOST_PROPERTIES, readable_cells
+from .paths import Slicing, plan_slices, valid_events
 
+#: Events of one tree.
+SHARD_ROWS = 100_000
 RESULT = "event_id long, key int, source_event_id long, source_ts long, source_seq long"
 
 
@@ -135,8 +140,45 @@ def search_shard(table: pa.Table) -> pa.Table:
     return pa.table({"event_id": out["event_id"], "key": out["key"].astype(np.int32), "source_event_id": out["source_event_id"], "source_ts": out["source_ts"], "source_seq": out["source_seq"]})
 
 
+def _earlier_slices(shard_rows: int):
+    """For one object and key: which earlier slices the events of each slice may have to ask.
+
+    Of two slices the later one is asked first, so an earlier one matters only
+    if its first arrival is before the later one's; these form a chain, which
+    ends at the first slice that every asking event knows.  ``shards`` parts the
+    events that may ask a slice so that ``shard_rows`` of them meet its updates.
+    """
+
+    def chains(table: pa.Table) -> pa.Table:
+        table = table.sort_by("slice")
+        asked_by, open_, found = defaultdict(int), [], []
+        slices, least, asked, events = (table.column(c).to_pylist() for c in ("slice", "least", "asked", "events"))
+        for s, first, earliest, n in zip(slices, least, asked, events):
+            chain = []
+            if n:
+                asked_by[s] += n
+                for t, arrived in reversed(open_ if earliest is not None else []):
+                    chain.append((t, arrived))
+                    asked_by[t] += n
+                    if arrived < earliest:
+                        break
+            found.append(chain)
+            if first is not None:
+                while open_ and open_[-1][1] >= first:
+                    open_.pop()
+                open_.append((s, first))
+        shards = {s: max(1, -(-n // shard_rows)) for s, n in asked_by.items()}
+        earlier = [[{"slice": t, "least": a, "shards": shards[t]} for t, a in chain] for chain in found]
+        return pa.table({
+            "object_id": table.column("object_id"), "key": table.column("key"), "slice": table.column("slice"), "shards": pa.array([shards.get(s, 1) for s in slices], pa.int64()),
+            "earlier": pa.array(earlier, pa.list_(pa.struct([("slice", pa.int64()), ("least", pa.int64()), ("shards", pa.int64())]))),
+        })
+
+    return chains
+
+
 def known_attributes(
-    events: DataFrame, event_data: DataFrame, properties: DataFrame, action_ids: list[int], slicing: Slicing | None = None, shard_rows: int = SLICE_ROWS
+    events: DataFrame, event_data: DataFrame, properties: DataFrame, action_ids: list[int], slicing: Slicing | None = None, shard_rows: int = SHARD_ROWS
 ) -> DataFrame:
     """For valid events of the given actions, each object property with the update it stood at.
 
@@ -149,43 +191,53 @@ def known_attributes(
     Objects are hashed to shards of about ``shard_rows`` events, one tree each.
     An object with more rows is spread over shards per key and slice of time:
     an event asks the slice of its own time and the last earlier slice that
-    has anything it could know, which is all that can hold its answer.
+    has anything it could know, which is all that can hold its answer.  A slice
+    that very many events ask is searched by several shards, each with the
+    slice's updates and a part of the events.
 
     Empty tables, or no such action, give no row.
 
     Result: ``event_id, key, source_event_id, source_ts, source_seq``.
     """
-    slicing = plan_slices(events) if slicing is None else slicing
+    slicing = plan_slices(events, shard_rows) if slicing is None else slicing
     shards = max(1, -(-events.count() // shard_rows))
     keys = readable_cells(event_data, properties).groupBy("event_id").agg(F.collect_list("key").alias("keys"))
     wanted = F.coalesce(F.col("action_id").isin(action_ids) if action_ids else F.lit(False), F.lit(False))
-    rows = valid_events(events).withColumn("wanted", wanted).join(keys, "event_id", "left").where(F.col("wanted") | F.col("keys").isNotNull())
+    found = valid_events(events).withColumn("wanted", wanted).join(keys, "event_id", "left").where(F.col("wanted") | F.col("keys").isNotNull())
+    if slicing:
+        found, _ = stored(slicing.add(found))
     kinds = F.concat(
         F.transform(F.coalesce("keys", F.array().cast("array<int>")), lambda k: F.struct(F.lit(False).alias("is_query"), k.alias("key"))),
         F.when(F.col("wanted"), F.array(F.struct(F.lit(True).alias("is_query"), F.lit(None).cast("int").alias("key")))).otherwise(F.array().cast("array<struct<is_query:boolean,key:int>>")),
     )
-    rows = rows.select("event_id", "object_id", "ts", "seq", F.explode(kinds).alias("k")).select("event_id", "object_id", "ts", "seq", "k.is_query", "k.key")
-    columns = ["shard", "is_query", "object_id", "key", "ts", "seq", "event_id"]
+
+    def rows_of(df: DataFrame, *more: str) -> DataFrame:
+        kept = ["event_id", "object_id", "ts", "seq", *more]
+        return df.select(*kept, F.explode(kinds).alias("k")).select(*kept, "k.is_query", "k.key")
 
     def search(df: DataFrame) -> DataFrame:
-        return df.select(*columns).groupBy("shard").applyInArrow(search_shard, RESULT)
+        return df.select("shard", "is_query", "object_id", "key", "ts", "seq", "event_id").groupBy("shard").applyInArrow(search_shard, RESULT)
 
-    long = F.col("object_id").isin([*slicing.cuts]) if slicing else F.lit(False)
-    short_rows = rows.where(~long).withColumn("shard", F.pmod(F.hash("object_id"), F.lit(shards)))
+    short = rows_of(found.where(F.col("slice") == 0) if slicing else found).withColumn("shard", F.pmod(F.hash("object_id"), F.lit(shards)))
     if not slicing:
-        return search(short_rows)
-
-    spread = slicing.add(rows.where(long))
-    firsts = (
-        spread.where(~F.col("is_query")).groupBy("object_id", "key", "slice").agg(F.min("seq").alias("least"))  # null if no other event could know one
-        .groupBy("object_id", "key").agg(F.collect_list(F.struct("slice", "least")).alias("slices"))
-    )
-    # At most MOST_SLICES slices of the registered keys; MOST_PROPERTIES keys.
-    keyed = spread.where("is_query").drop("key").join(F.broadcast(firsts), "object_id")
-    earlier = F.array_max(F.transform(F.filter("slices", lambda x: (x["slice"] < F.col("slice")) & (x["least"] < F.col("seq"))), lambda x: x["slice"]))
-    asked = keyed.withColumn("slice", F.explode(F.array_compact(F.array("slice", earlier)))).drop("slices")
-    both = spread.where(~F.col("is_query")).unionByName(asked)
-    both = both.withColumn("shard", F.xxhash64("object_id", "key", "slice"))
+        return search(short)
+
+    spread = rows_of(found.where(F.col("slice") > 0), "slice")
+    updates, queries = spread.where(~F.col("is_query")), spread.where("is_query").drop("key")
+    known = updates.groupBy("object_id", "key", "slice").agg(F.lit(True).alias("own"), F.min("seq").alias("least"))  # null if no other event could know one
+    asked = queries.groupBy("object_id", "slice").agg(F.min("seq").alias("asked"), F.count("*").alias("events"))
+    every = asked.join(known.select("object_id", "key").distinct(), "object_id")
+    summary = every.join(known, ["object_id", "key", "slice"], "full_outer").select("object_id", "key", "slice", "least", "asked", F.coalesce("events", F.lit(0)).alias("events"))
+    plan, _ = stored(summary.groupBy("object_id", "key").applyInArrow(_earlier_slices(shard_rows), "object_id long, key int, slice long, shards long, earlier array<struct<slice:long,least:long,shards:long>>"))
+    plan = slicing.bounded(plan, MOST_PROPERTIES)
+
+    part = lambda n: F.pmod(F.hash("event_id"), n)
+    before = F.get(F.filter("earlier", lambda x: x["least"] < F.col("seq")), 0)
+    ask = queries.join(plan, ["object_id", "slice"])
+    ask = ask.withColumn("a", F.explode(F.array_compact(F.array(F.struct("slice", "shards"), F.when(before.isNotNull(), F.struct(before["slice"].alias("slice"), before["shards"].alias("shards")))))))
+    ask = ask.select("event_id", "object_id", "ts", "seq", "is_query", "key", F.col("a.slice").alias("slice"), part(F.col("a.shards")).alias("part"))
+    told = updates.join(plan, ["object_id", "key", "slice"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1)))
+    both = told.select(*ask.columns).unionByName(ask).withColumn("shard", F.xxhash64("object_id", "key", "slice", "part"))
     last = Window.partitionBy("event_id", "key").orderBy(F.col("source_ts").desc(), F.col("source_seq"))
-    found = search(both).withColumn("_before", F.lag(F.lit(1)).over(last)).where(F.col("_before").isNull()).drop("_before")
-    return search(short_rows).unionByName(found)
+    spread_found = search(both).withColumn("_before", F.lag(F.lit(1)).over(last)).where(F.col("_before").isNull()).drop("_before")
+    return search(short).unionByName(spread_found)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .cells import cells
+from ..session import stored
+from .cells import MOST_PROPERTIES, cells
 from .paths import Slicing, path_order, plan_slices, valid_events
 
 VALUE = ("v_int", "v_float", "v_bool", "v_str")
@@ -76,12 +77,14 @@ def attribute_history(events: DataFrame, event_data: DataFrame, properties: Data
     """
     slicing = plan_slices(events) if slicing is None else slicing
     log = slicing.add(updates(events, event_data, properties))
+    if slicing:
+        log, _ = stored(log)  # its slices are summed up and gone through
     path = Window.partitionBy("object_id", "key", "slice").orderBy(*path_order())
     numbered = log.withColumn("n", F.row_number().over(path).cast("long"))
     if slicing:
         numbered = slicing.carry(
             numbered, ["object_id", "key"], [F.count("*").alias("_n")],
-            lambda w: [F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_n0")],
+            lambda w: [F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("_n0")], MOST_PROPERTIES,
         ).withColumn("n", F.col("n") + F.coalesce("_n0", F.lit(0)))
     now = numbered.select("object_id", "key", "n", *VALUE, F.col("ts"), F.col("seq"), F.col("event_id"), "slice")
     before = numbered.select("object_id", "key", (F.col("n") + 1).alias("n"), *VALUE)
@@ -92,7 +95,7 @@ def attribute_history(events: DataFrame, event_data: DataFrame, properties: Data
     if slicing:
         begun = slicing.carry(
             begun, ["object_id", "key"], [F.min("ts").alias("_first")],
-            lambda w: [F.first("_first").over(w.rowsBetween(1, 1)).alias("_next")],
+            lambda w: [F.first("_first").over(w.rowsBetween(1, 1)).alias("_next")], MOST_PROPERTIES,
         )
         until = F.coalesce(until, F.col("_next"))
     return begun.select("object_id", "key", F.col("event_id").alias("start_event_id"), *VALUE, "change", F.col("ts").alias("valid_from"), until.alias("valid_to"))

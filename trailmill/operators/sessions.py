@@ -56,6 +56,11 @@ def sessions(events: DataFrame, gap: int = 30 * MINUTE, slicing: Slicing | None
             "_end": far(F.coalesce("_later", "_after"), F.col("ts")) & ~F.coalesce("_tie_after", F.lit(False)),
         }
     ).select("object_id", "slice", "ts", "seq", "event_id", "_pos", "_start", "_end")
+    if slicing:
+        marked = slicing.carry(
+            marked, ["object_id"], [F.sum(F.col("_start").cast("long")).alias("_s"), F.sum(F.col("_end").cast("long")).alias("_e"), F.count("*").alias("_n")],
+            lambda w: [F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{c}0") for c in ("_s", "_e", "_n")],
+        )
     ranked = marked.withColumns(
         {
             "_start_no": F.sum(F.col("_start").cast("long")).over(path.rowsBetween(Window.unboundedPreceding, 0)),
@@ -63,15 +68,8 @@ def sessions(events: DataFrame, gap: int = 30 * MINUTE, slicing: Slicing | None
         }
     ).where(F.col("_start") | F.col("_end"))
     if slicing:
-        before = slicing.long_paths(marked).groupBy("object_id", "slice").agg(
-            F.sum(F.col("_start").cast("long")).alias("s"), F.sum(F.col("_end").cast("long")).alias("e"), F.count("*").alias("n")
-        )
-        upto = Window.partitionBy("object_id").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-        before = before.select("object_id", "slice", *(F.sum(c).over(upto).alias(f"_{c}0") for c in "sen"))
         shift = lambda c, k: F.col(c) + F.coalesce(F.col(k), F.lit(0))
-        ranked = ranked.join(F.broadcast(before), ["object_id", "slice"], "left").withColumns(
-            {"_start_no": shift("_start_no", "_s0"), "_end_no": shift("_end_no", "_e0"), "_pos": shift("_pos", "_n0")}
-        )
+        ranked = ranked.withColumns({"_start_no": shift("_start_no", "_s0"), "_end_no": shift("_end_no", "_e0"), "_pos": shift("_pos", "_n0")})
 
     # The join of starts and ends on equal numbers is one grouping of both:
     # the shuffle carries each mark once and the path is computed once.

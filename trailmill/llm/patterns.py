@@ -9,19 +9,22 @@ from the closed ones: a part's support is the greatest among the closed
 patterns that contain it.
 
 Paths are packed once into arrays, one row per path or per slice of a long
-one, and written to the shared folder.  Mining is level-wise, one step more
-per pass: candidates are joined from frequent prefixes and suffixes on the
-driver and sent to the paths.  There each pass walks them again from their first
-item, one first item at a time, by the arrays of positions at which a prefix ends
-and binary search for the next step's ends; these positions are not carried
-from pass to pass.  Nothing is copied per pattern, and only counts leave a
-task.
+one, and written to the shared folder.  Tasks grow prefixes over pseudo-projections:
+the projection of a prefix is the array of positions where it ends, made from
+that of the prefix one step shorter, one first item after the other, and
+nothing is copied.  With it goes, for each end, the set of items that could
+stand one step before the whole prefix there.  From both come the checks in
+both directions: the items after the ends give the supports of the forward
+extensions, the sets give those of the backward extensions, and an item in the
+sets of all ends ends the growth of the prefix (backscan).  As support is
+counted over all paths, prefixes of one length are grown in one pass and only
+counts leave a task; which prefixes are closed and which grow on is known
+when the pass ends.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +36,11 @@ from ..session import collect_small, stored
 
 MINUTE = 60_000_000
 COUNTS = "pattern long, object_id long, objects long, ends long"
-#: Frequent patterns of one length that the driver may hold.
+#: Counts that may come to the driver of one pass: frequent extensions of the prefixes that still grow.
 MOST_PATTERNS = 1_000_000
+#: Events of one object that are packed into one row, and of all rows that a task looks at together.
+SLICE_EVENTS, BLOCK_EVENTS = 100_000, 1_000_000
+FORWARD, BACKWARD, BACKSCAN = 0, 1, 2
 
 
 def packed_paths(events: DataFrame, span: int, slicing: Slicing) -> DataFrame:
@@ -45,32 +51,51 @@ def packed_paths(events: DataFrame, span: int, slicing: Slicing) -> DataFrame:
     wholly in its arrays.
     """
     e = valid_events(events).where(F.col("action_id") > 0)
-    one = F.array(F.struct(F.lit(0).alias("slice"), F.lit(False).alias("context")))
     if slicing:
-        e = slicing.add(e)
-        table = e.sparkSession.createDataFrame([(k, v) for k, v in slicing.cuts.items()], "object_id long, _cuts array<long>")
-        e = e.join(F.broadcast(table), "object_id", "left")
-        after = F.filter(
-            F.transform("_cuts", lambda c, i: F.struct((i + 1).alias("slice"), ((c > F.col("ts")) & (c - span <= F.col("ts"))).alias("context"))), lambda x: x["context"]
-        )
-        own = F.array(F.struct(F.col("slice"), F.lit(False).alias("context")))
-        e = e.withColumn("_at", F.when(F.col("_cuts").isNull(), one).otherwise(F.concat(own, after)))
-        e = e.select("object_id", F.col("_cuts").isNotNull().alias("sliced"), F.explode("_at").alias("a"), "ts", "seq", "event_id", "action_id")
-        e = e.select("object_id", "sliced", "a.slice", "a.context", "ts", "seq", "event_id", "action_id")
+        e = slicing.add(slicing.add(e).withColumn("_until_ts", F.col("ts") + span), "_until_ts", "_until")
+        e = e.withColumn("at", F.explode(F.sequence("slice", "_until"))).withColumn("context", F.col("at") > F.col("slice"))
+        e = e.select("object_id", (F.col("slice") > 0).alias("sliced"), F.col("at").alias("slice"), "context", "ts", "seq", "event_id", "action_id")
     else:
         e = e.select("object_id", F.lit(False).alias("sliced"), F.lit(0).alias("slice"), F.lit(False).alias("context"), "ts", "seq", "event_id", "action_id")
     row = F.struct("ts", F.coalesce(-F.col("seq"), F.lit(2**63 - 1)).alias("no"), "event_id", "action_id")
     return (
         e.groupBy("object_id", "sliced", "slice")
         .agg(F.sort_array(F.collect_list(row)).alias("r"), F.count_if("context").alias("n_context"))
+        .where(F.size("r") > F.col("n_context"))
         .select("object_id", "sliced", "n_context", F.col("r.ts").alias("ts"), F.col("r.action_id").alias("action"))
     )
 
 
-class _Batch:
-    """Paths of one Arrow batch, flattened and cut down to the given actions."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about ``BLOCK_EVENTS`` events, which bounds the arrays of a task."""
+    for batch in batches:
+        offsets, begin = batch.column("ts").offsets.to_numpy(), 0
+        while begin < batch.num_rows:
+            end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_EVENTS, "right")) - 1)
+            yield batch.slice(begin, end - begin)
+            begin = end
+
+
+def _range_or(rows: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Bitwise or of ``rows[low:high]`` for each pair, from tables of doubled width."""
+    out = np.zeros((len(low), rows.shape[1]), rows.dtype)
+    width, reach = high - low, 1
+    while True:
+        here = np.flatnonzero((width >= reach) & (width < 2 * reach))
+        out[here] = rows[low[here]] | rows[high[here] - reach]
+        if not (width >= 2 * reach).any():
+            return out
+        rows, reach = rows[:-reach] | rows[reach:], 2 * reach
+
 
-    def __init__(self, batch: pa.RecordBatch, items: np.ndarray | None):
+def _items_of(mask: np.ndarray) -> np.ndarray:
+    return np.flatnonzero(np.unpackbits(mask.view(np.uint8), bitorder="little"))
+
+
+class _Block:
+    """Paths flattened and cut down to the given items, on one clock on which different paths are far apart."""
+
+    def __init__(self, batch: pa.RecordBatch, items: np.ndarray | None, gap: int):
         lists = batch.column("ts")
         length = np.diff(lists.offsets.to_numpy())
         ts, action = lists.flatten().to_numpy(zero_copy_only=False), batch.column("action").flatten().to_numpy(zero_copy_only=False)
@@ -81,11 +106,14 @@ class _Batch:
             code = np.minimum(np.searchsorted(items, action), len(items) - 1)
             keep = items[code] == action
             ts, path, counts, action = ts[keep], path[keep], counts[keep], code[keep]
-        self.ts, self.path, self.counts, self.item = ts, path, counts, action
+        self.path, self.counts, self.item = path, counts, action
         self.object_id = batch.column("object_id").to_numpy(zero_copy_only=False)
         self.sliced = batch.column("sliced").to_numpy(zero_copy_only=False)
-        edge = np.flatnonzero(np.r_[True, path[1:] != path[:-1]]) if len(path) else np.empty(0, np.int64)
-        self.begin = np.repeat(edge, np.diff(np.r_[edge, len(path)]))
+        new = np.r_[True, path[1:] != path[:-1]] if len(path) else np.empty(0, bool)
+        pause = np.r_[0, np.diff(ts)] if len(ts) else ts
+        clock = np.cumsum(np.where(new | (pause > gap), gap + 1, pause))
+        self.after = np.searchsorted(clock, clock + gap, "right")  # first place beyond the gap
+        self.before = np.searchsorted(clock, clock - gap, "left")  # first place within the gap
 
     def tally(self, codes: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
         """``pattern, object_id (-1: none), objects, ends`` for occurrences of ``codes`` that end at positions ``at``."""
@@ -106,6 +134,29 @@ class _Batch:
             np.r_[objects, np.zeros(len(parts), np.int64)], np.r_[ends, np.zeros(len(parts), np.int64)],
         ]
 
+    def following(self, ends: np.ndarray) -> np.ndarray:
+        """Positions at most a gap after the latest of ``ends`` before them: a position further from it is further from the others."""
+        stop = np.minimum(self.after[ends], np.r_[ends[1:] + 1, len(self.item)])
+        n = stop - ends - 1
+        return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(ends + 1, n)
+
+    def backward(self, ends: np.ndarray, sets: np.ndarray, code: Callable[[int, np.ndarray], np.ndarray]) -> Iterator[list[np.ndarray]]:
+        """Counts of backward extensions: those of all whole paths here, of each slice, and those at all ends."""
+        own = self.counts[ends]
+        ends, sets = ends[own], sets[own]
+        if not len(ends):
+            return
+        path = self.path[ends]
+        starts = np.flatnonzero(np.r_[True, path[1:] != path[:-1]])
+        of_path = np.bitwise_or.reduceat(sets, starts, axis=0)
+        sliced = self.sliced[path[starts]]
+        row = lambda kind, items, object_id, objects, n: [code(kind, items), *(np.full(len(items), v) for v in (object_id, objects, n))]
+        if not sliced.all():
+            yield row(BACKWARD, _items_of(np.bitwise_and.reduce(of_path[~sliced], axis=0)), -1, int((~sliced).sum()), 0)
+        for at in np.flatnonzero(sliced):
+            yield row(BACKWARD, _items_of(of_path[at]), self.object_id[path[starts[at]]], 0, 0)
+        yield row(BACKSCAN, _items_of(np.bitwise_and.reduce(sets, axis=0)), -1, 0, len(ends))
+
 
 def _send(found: list[list[np.ndarray]]) -> pa.RecordBatch:
     columns = [np.concatenate(c).astype(np.int64) for c in zip(*found)] if found else [np.empty(0, np.int64)] * 4
@@ -114,115 +165,87 @@ def _send(found: list[list[np.ndarray]]) -> pa.RecordBatch:
 
 
 def _count_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        b = _Batch(batch, None)
+    for batch in _blocks(batches):
+        b = _Block(batch, None, 0)
         yield _send([b.tally(b.item.astype(np.int64), np.arange(len(b.item)))])
 
 
-def _count_pairs(items: np.ndarray, gap: int):
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _Batch(batch, items)
-            n, found = len(b.item), []
-            at = np.arange(n, dtype=np.int32)
-            begin = b.begin.astype(np.int32)
-            for a in np.unique(b.item):
-                # The latest event of the first action before each position decides: an earlier one is further off.
-                last = np.empty(n, np.int32)
-                last[0] = -1
-                last[1:] = np.maximum.accumulate(np.where(b.item == a, at, -1))[:-1]
-                near = np.flatnonzero(last >= begin)
-                near = near[b.ts[near] - b.ts[last[near]] <= gap]
-                found.append(b.tally(a * len(items) + b.item[near], near))
-            yield _send(found)
-
-    return count
-
-
-def _count_patterns(items: np.ndarray, candidates: list[tuple[int, ...]], gap: int):
+def _extend(items: np.ndarray, prefixes: list[tuple[int, ...]], gap: int):
+    """Counts of the extensions of prefixes; ``pattern`` is ``(prefix * 3 + kind) * items + item``."""
     trie: dict = {}
-    for number, pattern in enumerate(candidates):
+    for number, prefix in enumerate(prefixes):
         node = trie
-        for step in pattern[:-1]:
+        for step in prefix[:-1]:
             node = node.setdefault(step, {})
-        node[pattern[-1]] = number
+        node[prefix[-1]] = number
+    lanes = -(-len(items) // 64)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            b = _Batch(batch, items)
-            order = np.argsort(b.item, kind="stable")
-            bounds = np.searchsorted(b.item[order], np.arange(len(items) + 1))
-            places = [order[bounds[i] : bounds[i + 1]] for i in range(len(items))]
-            found = []
+    def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _blocks(batches):
+            b, found = _Block(batch, items, gap), []
+            if not len(b.item):
+                continue
 
-            def grow(node: dict, ends: np.ndarray) -> None:
+            def by_item(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                at = at[np.argsort(b.item[at], kind="stable")]
+                return at, np.searchsorted(b.item[at], np.arange(len(items) + 1))
+
+            def grow(node: dict, at: np.ndarray, bounds: np.ndarray, before: np.ndarray | None, sets: np.ndarray) -> None:
+                """Children of a prefix that ends at ``before`` with ``sets``; ``at`` are the places after it by item."""
                 for step, below in node.items():
-                    to = places[step]
-                    before = np.searchsorted(ends, to) - 1  # the latest end of the prefix before each place
-                    prefix = ends[np.maximum(before, 0)]
-                    to = to[(before >= 0) & (prefix >= b.begin[to]) & (b.ts[to] - b.ts[prefix] <= gap)]
-                    if len(to) and isinstance(below, dict):
-                        grow(below, to)
-                    elif len(to):
-                        found.append(b.tally(np.full(len(to), below), to))
-
-            for first, node in trie.items():  # one first item's projections at a time
-                if len(places[first]):
-                    grow(node, places[first])
+                    ends = at[bounds[step] : bounds[step + 1]]
+                    if not len(ends):
+                        continue
+                    low, high = (b.before[ends], ends) if before is None else (np.searchsorted(before, b.before[ends]), np.searchsorted(before, ends))
+                    own = _range_or(sets, low, high)
+                    after, edges = by_item(b.following(ends))
+                    if isinstance(below, dict):
+                        grow(below, after, edges, ends, own)
+                    else:
+                        code = lambda kind, item, below=below: (below * 3 + kind) * len(items) + item
+                        found.append(b.tally(code(FORWARD, b.item[after].astype(np.int64)), after))
+                        found.extend(b.backward(ends, own, code))
+
+            single = np.zeros((len(b.item), lanes), np.uint64)
+            single[np.arange(len(b.item)), b.item // 64] = np.uint64(1) << (b.item % 64).astype(np.uint64)
+            grow(trie, *by_item(np.arange(len(b.item))), None, single)
             yield _send(found)
 
-    return count
+    return extend
 
 
 def _totals(paths: DataFrame, worker, least: int) -> dict[int, tuple[int, int]]:
-    """Support and number of ends of the patterns that reach ``least``."""
+    """Support and number of ends of the patterns of which either reaches ``least``."""
     counts = paths.mapInArrow(worker, COUNTS).groupBy("pattern").agg((F.sum("objects") + F.countDistinct("object_id")).alias("support"), F.sum("ends").alias("ends"))
-    return {r[0]: (r[1], r[2]) for r in collect_small(counts.where(F.col("support") >= least), MOST_PATTERNS)}
-
-
-def _parts(pattern: tuple) -> Iterator[tuple]:
-    for i in range(len(pattern)):
-        for j in range(i + 1, len(pattern) + 1):
-            yield pattern[i:j]
+    return {r[0]: (r[1], r[2]) for r in collect_small(counts.where(F.greatest("support", "ends") >= least), MOST_PATTERNS)}
 
 
 def _mine(paths: DataFrame, least: int, gap: int, depth: int) -> dict[tuple, int] | None:
-    """Supports of mined patterns by actions; None if patterns of ``depth`` steps are still frequent."""
-    singles = _totals(paths, _count_items, least)
+    """Supports of closed patterns by actions; None if patterns of ``depth`` steps may still grow."""
+    singles = {a: v for a, v in _totals(paths, _count_items, least).items() if v[0] >= least}
     items = np.array(sorted(singles), np.int64)
-    support = {(i,): singles[a][0] for i, a in enumerate(items)}
-    ends = {(i,): singles[a][1] for i, a in enumerate(items)}
-    pruned: set[tuple] = set()  # prefixes that need not grow
-    unknown = lambda p: any(p[:i] in pruned for i in range(1, len(p)))
-    level = list(support)
-    for length in range(2, depth + 1):
-        if not level or not len(items):
-            break
-        if length == 2:
-            found = _totals(paths, _count_pairs(items, gap), least)
-            totals = {divmod(int(k), len(items)): v for k, v in found.items()}
-        else:
-            follow = defaultdict(set)
-            for p in support:
-                if len(p) == length - 1:
-                    follow[p[:-1]].add(p[-1])
-            candidates = []
-            for p in level:
-                steps = range(len(items)) if unknown((*p[1:], -1)) else follow[p[1:]]
-                candidates += [(*p, c) for c in sorted(steps)]
-            if not candidates:
-                break
-            found = _totals(paths, _count_patterns(items, candidates, gap), least)
-            totals = {candidates[k]: v for k, v in found.items()}
-        support |= {p: v[0] for p, v in totals.items()}
-        ends |= {p: v[1] for p, v in totals.items()}
-        # Backscan: if a step before P is there wherever P ends, all that grows
-        # from P also grows from that longer pattern, with the same support.
-        pruned |= {p[1:] for p in totals if ends[p] == ends[p[1:]]}
-        level = [p for p in totals if p[:-1] not in pruned and p not in pruned]
-        if length == depth and level:
+    level = {(i,): singles[a] for i, a in enumerate(items)}
+    closed = {}
+    for length in range(1, depth + 1):
+        if not level:
+            return {tuple(int(items[i]) for i in p): n for p, n in closed.items()}
+        if length == depth:
             return None
-    return {tuple(int(items[i]) for i in p): n for p, n in support.items()}
+        prefixes = sorted(level)
+        whole, longer, stopped = set(), {}, set()
+        for code, (support, ends) in _totals(paths, _extend(items, prefixes, gap), least).items():
+            rest, item = divmod(code, len(items))
+            number, kind = divmod(rest, 3)
+            prefix = prefixes[number]
+            if kind == FORWARD and support >= least:
+                longer[*prefix, item] = support, ends
+            if kind != BACKSCAN and support == level[prefix][0]:
+                whole.add(prefix)  # an extension stands wherever the prefix does
+            if kind == BACKSCAN and ends == level[prefix][1]:
+                stopped.add(prefix)
+        closed |= {p: v[0] for p, v in level.items() if p not in whole}
+        level = {p: v for p, v in longer.items() if p[:-1] not in stopped}
+    return None
 
 
 def closed_patterns(
@@ -234,10 +257,10 @@ def closed_patterns(
     action before it.  ``depth`` is only a first guess of how long patterns
     get; if longer ones are frequent, the paths are packed anew.
 
-    Candidates grow by level.  A prefix that has the same step before it at
-    all its ends is not grown (backscan); that is the only check of closure
-    on the way.  Which patterns are closed is decided afterwards on the driver:
-    one with a longer pattern of the same support around it is not.
+    A prefix is closed if none of its one-step extensions, forward or backward,
+    has its support.  A prefix with the same item a step before it at all its
+    ends is not grown (backscan): whatever grows from it also grows, with the
+    same support, from the longer one.
 
     Repeated deliveries and events without object, time or action never count;
     equal times follow path order; an empty table gives no pattern.
@@ -245,17 +268,15 @@ def closed_patterns(
     Result: ``pattern`` (array of action ids), ``support``.
     """
     spark = events.sparkSession
-    slicing = plan_slices(events) if slicing is None else slicing
+    slicing = plan_slices(events, SLICE_EVENTS) if slicing is None else slicing
     while True:
         paths, _ = stored(packed_paths(events, (depth - 1) * gap, slicing))
         n = paths.select("object_id").distinct().count() if slicing else paths.count()
-        support = _mine(paths, max(at_least, -(-n // share)), gap, depth)
-        if support is not None:
+        closed = _mine(paths, max(at_least, -(-n // share)), gap, depth)
+        if closed is not None:
             break
         depth *= 2
-    open_ = {part for p, n in support.items() for part in _parts(p) if part != p and support.get(part) == n}
-    rows = [([*p], n) for p, n in sorted(support.items()) if p not in open_]
-    return spark.createDataFrame(rows, "pattern array<int>, support long")
+    return spark.createDataFrame([([*p], n) for p, n in sorted(closed.items())], "pattern array<int>, support long")
 
 
 def all_patterns(closed: DataFrame, length: int) -> DataFrame:

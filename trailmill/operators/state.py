@@ -53,6 +53,20 @@ def with_state(events: DataFrame, sticky: dict[str, str], transient: dict[str, s
     return out.withColumns({c: F.coalesce(F.col(c), F.lit(ZERO[t])) for c, t in transient.items()}) if transient else out
 
 
+def with_previous(events: DataFrame, columns: dict[str, Column], tie_break: str = "lifo", slicing: Slicing | None = None) -> DataFrame:
+    """Events with what expressions, which must not be null, were at the event before in the path; null at the first."""
+    slicing = slicing or Slicing()
+    e = slicing.add(events).withColumns({f"_own_{c}": v for c, v in columns.items()})
+    if slicing:
+        rank = _rank(tie_break)
+        e = slicing.carry(
+            e, ["object_id"], [F.max_by(f"_own_{c}", rank).alias(f"_end_{c}") for c in columns], lambda w: [F.lag(f"_end_{c}").over(w).alias(f"_before_{c}") for c in columns]
+        )
+    path = Window.partitionBy("object_id", "slice").orderBy(*order(tie_break))
+    before = {c: F.coalesce(F.lag(f"_own_{c}").over(path), *([F.col(f"_before_{c}")] if slicing else [])) for c in columns}
+    return e.withColumns(before).drop("slice", *(f"_own_{c}" for c in columns), *(f"_before_{c}" for c in columns))
+
+
 def state_at(events: DataFrame, at: int, sticky: dict[str, str], tie_break: str = "lifo") -> DataFrame:
     """One row per object: its object properties as they stood at time ``at`` (microseconds).
 

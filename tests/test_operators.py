@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 import samples
 from trailmill.operators.asof import PersistentTree, known_attributes
 from trailmill.operators.cells import cells
-from trailmill.operators.features import apply_deltas, deltas, feature_columns, feature_rows, feature_table
-from trailmill.operators.history import attribute_history, diff_snapshots, snapshot_history
+from trailmill.operators.features import apply_deltas, deltas, feature_columns, feature_rows, feature_table, flat_features, update_features
+from trailmill.operators.history import attribute_history, diff_snapshots, periodic_snapshots, snapshot_history
 from trailmill.operators.paths import Slicing, plan_slices, valid_events
 from trailmill.operators.sessions import sessions
 from trailmill.queries import QUERIES
@@ -123,6 +123,45 @@ def test_features(sample):
     assert all(r.n_1 == want.get((o, 1), (0,))[0] and r.n_999 == 0 and r.age_999 is None for o, r in wide.items())
 
 
+def test_features_are_kept_up(sample):
+    """Batches in any order, one of them twice, end in the table of a single load."""
+    want = rows(feature_table(sample[2]))
+    parts = [sample[2].where(c) for c in ("coalesce(seq, 0) % 3 = 2", "coalesce(seq, 0) % 3 = 0", "seq % 3 = 2", "seq % 3 = 1")]
+    state = None
+    for part in parts:
+        state = update_features(part, state)
+    assert rows(flat_features(state[0])) == want
+    again = update_features(sample[2].where("seq = -1"), state)
+    assert rows(flat_features(again[0])) == want
+
+
+def test_feature_blocks(sample, monkeypatch):
+    from trailmill.operators import features
+
+    want = rows(feature_columns(feature_table(sample[2]), [3, 1]))
+    dense = features._dense
+
+    def small(*args):
+        def run(batches):
+            from trailmill.operators import features as f
+
+            f.BLOCK_ROWS = 3
+            return dense(*args)(piece for b in batches for piece in (b.slice(i, 2) for i in range(0, b.num_rows, 2)))
+
+        return run
+
+    monkeypatch.setattr(features, "_dense", small)
+    assert rows(feature_columns(feature_table(sample[2]), [3, 1])) == want
+    assert feature_columns(feature_table(sample[2]), []).columns == ["object_id", "n_actions", "last_ts"]
+
+
+def test_periodic_snapshots(spark):
+    log = spark.createDataFrame([(1, 1, 5, 1, 10, 7), (1, 1, 9, 2, 11, 8), (1, 1, 9, 3, 12, 9), (1, 1, 25, 4, 13, None), (1, 1, 95, 5, 14, 7), (2, 1, -3, 6, 15, 1)],
+        "object_id long, key int, ts long, seq long, event_id long, v_int long").selectExpr("*", "null v_float", "null v_bool", "null v_str")
+    got = [(r.object_id, r.number, r.v_int) for r in periodic_snapshots(log, 10, 3).collect()]
+    assert sorted(got, key=repr) == sorted([(1, 0, 8), (1, 1, 8), (1, 2, None), (1, 3, None), (1, 4, None), (1, 9, 7), (1, 10, 7), (1, 11, 7), (2, -1, 1), (2, 0, 1), (2, 1, 1)], key=repr)
+
+
 def test_deltas_repair_only_what_lost_its_latest(spark):
     schema = "event_id long, object_id long, ts long, seq long, action_id int"
     live = spark.createDataFrame([(1, 5, 10, 1, 1), (2, 5, 20, 2, 1), (4, 6, 10, 4, 1)], schema)

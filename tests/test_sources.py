@@ -11,34 +11,31 @@ from trailmill.sources.jsonimport import parse_lenient, parse_timestamp
 from trailmill.sources.messages import handle
 from trailmill.sources.msgpack import pack, to_msgpack
 
-#: Two stores' customers; keys without quotes, one comma missing.
-DOCUMENT = """{
-  table: {
-    blockSize: 64,
-    actions: [{name: "enter"}, {name: "leave"} {name: "order"}],
-    properties: [{type: "object", dataType: "Int", name: "tier"}, {type: "action", dataType: "Int", name: "cups"}, {type: "object", dataType: "String", name: "city"}],
-    events: [
-      {objectId: 8, timestamp: "2001-05-01T08:00:00Z", action: "enter", data: {tier: 2}},
-      {objectId: 8, timestamp: "2001-05-01T08:05:00Z", action: "order", data: {cups: 3, city: "Ulm"}},
-      {objectId: 8, timestamp: "2001-05-01T08:09:00Z", action: "order", data: {cups: null, tier: 4}},
-      {objectId: 8, timestamp: "2001-05-01T08:30:00Z", action: "leave"},
-      {objectId: 9, timestamp: "2001-05-01T08:02:00Z", action: "enter"},
-      {objectId: 9, timestamp: "2001-05-01T08:03:00Z", data: {cups: 7}}
-    ]
-  }
-}"""
+#: A library's lendings: events before a second list of actions, nested data in any order, commas missing in several places.
+DOCUMENT = """{ "table" : {
+  properties: [
+    {name: shelf dataType: String, type: "object"}
+    {type: action, name: "pages" dataType: Int},
+    {dataType: "Float" type: object name: "fine"},
+  ],
+  actions: [{name: lend}, {name: "give back"}],
+  events: [
+    {data: {pages: 310 shelf: "B 7"}, action: lend, timestamp: "1999-02-28T23:59:59Z" objectId: 41}
+    {objectId: 41, timestamp: "1999-03-09T12:00:00Z", data: {fine: 1.25}}
+    {objectId: 41, data: {}, timestamp: "1999-03-09T12:00:00Z", action: "give back"},
+    {timestamp: "1999-03-01T00:00:00Z", objectId: 40, action: lend, data: {pages: 90}}
+  ] } }"""
+#: Pages lent and fines standing, by whether anything is on a shelf.
 PROGRAM = """
-[Hashable("id")] [Serializable]
-class Result { public Int id; public Int count; public Int tiers; public Int cups; }
-Cursor cursor = path.events();
-for each (Event event in cursor) {
-  String unused = event.city;
-  Result item = data.get(event.actionId);
-  item.count = item.count + 1;
-  item.tiers = item.tiers + event.tier;
-  item.cups = item.cups + event.cups;
-}
-return;"""
+[Serializable]
+[Hashable("group")]
+class Result { public Float fines; public Int pages; public Int group; }
+for each (Event e in path.events()) {
+  Int group = 2;
+  if (e.shelf.equals("")) { group = 1; }
+  Result found = data.get(group);
+  if (e.actionId == 1) { found.pages = found.pages + e.pages; } else { found.fines = found.fines + e.fine; }
+}"""
 
 
 @pytest.fixture
@@ -63,18 +60,18 @@ def test_timestamps():
 
 
 def test_import_and_query(spark, db):
-    t = db.table("customers")
+    t = db.table("loans")
     assert t.import_json(DOCUMENT).count() == 0
-    got = [tuple(r) for r in t.query(PROGRAM).collect()]
-    # tier stays (2, 2, 4, 4 and 0); cups belong to their event; an event without action counts as 0
-    assert got == [(0, 1, 0, 7), (1, 2, 2, 0), (2, 1, 4, 0), (3, 2, 6, 3)]
-    assert db.table("customers") is t
-    again = Database(spark, db.path).table("customers")
-    assert [tuple(r) for r in again.query(PROGRAM).collect()] == got
-    assert [r.id for r in again.all_actions().collect()] == [1, 2, 3] and again.registry == t.registry
-    assert [(r.object_id, r.tier, r.city) for r in t.state_at(parse_timestamp("2001-05-01T08:05:00Z")).orderBy("object_id").collect()] == [(8, 2, "Ulm"), (9, 0, "")]
-    assert [r.ts for r in t.events_of(9).collect()] == [parse_timestamp("2001-05-01T08:02:00Z"), parse_timestamp("2001-05-01T08:03:00Z")]
-    assert {(r.prev_action_id, r.action_id): r.n for r in t.transitions().collect()} == {(1, 3): 1, (3, 3): 1, (3, 2): 1, (1, 0): 1}
+    # 41: lend, then of equal times the later arrival first: given back (fine still 0), then the fine itself
+    want = [(0.0, 90, 1), (1.25, 310, 2)]
+    assert [tuple(r) for r in t.query(PROGRAM).collect()] == want
+    assert db.table("loans") is t
+    again = Database(spark, db.path).table("loans")
+    assert [tuple(r) for r in again.query(PROGRAM).collect()] == want
+    assert [r.name for r in again.all_actions().orderBy("id").collect()] == ["lend", "give back"] and again.registry == t.registry
+    assert [(r.object_id, r.shelf, r.fine) for r in t.state_at(parse_timestamp("1999-03-09T12:00:00Z")).orderBy("object_id").collect()] == [(40, "", 0.0), (41, "B 7", 1.25)]
+    assert [r.action_id for r in t.events_of(41).collect()] == [1, 2, 0]
+    assert {(r.prev_action_id, r.action_id): r.n for r in t.transitions().collect()} == {(1, 2): 1, (2, 0): 1}
 
 
 @pytest.mark.parametrize(
@@ -117,10 +114,40 @@ def test_later_arrivals_sort_first_and_new_properties_are_null_before(db):
         t.append_rows([{"object_id": 1, "ts": 5, "action_id": 3, "c": 1}])
 
 
-def test_compact_keeps_rows(db):
+def test_compact_keeps_rows(spark, db):
     t = db.table("t")
     t.append_rows([{"object_id": i % 5 + 1, "ts": i, "action_id": 1} for i in range(50)])
-    assert t.compact(4).count() == 50
+    t.append(spark.createDataFrame([(9, 3, 2)], "object_id long, ts long, action_id int"), "one")
+    before = sorted(map(tuple, t.events().collect()))
+    t.compact(4)
+    assert sorted(map(tuple, t.events().collect())) == before and t.folder != "events"
+    again = Database(spark, db.path).table("t")
+    assert sorted(map(tuple, again.events().collect())) == before
+    again.append_rows([{"object_id": 3, "ts": 9, "action_id": 1}])
+    assert again.events().count() == 52 and len({r.seq for r in again.events().collect()}) == 52
+
+
+def test_a_batch_replaces_itself(spark, db):
+    t = db.table("t")
+    rows = spark.createDataFrame([(1, 3, 2), (2, 4, 1)], "object_id long, ts long, action_id int")
+    t.append(rows, "b-0")
+    first = sorted(map(tuple, t.events().collect()))
+    t.append(rows, "b-0")
+    assert sorted(map(tuple, t.events().collect())) == first
+    t.append(rows, "b-1")
+    assert t.events().count() == 4 and len({r.seq for r in t.events().collect()}) == 4
+
+
+def test_lock(spark, db):
+    t, other = db.table("t"), Database(spark, db.path).table("t")
+    with t.locked():
+        t.append_rows([{"object_id": 1, "ts": 1, "action_id": 1}])
+        for write in (lambda: other.append_rows([{"object_id": 1, "ts": 1, "action_id": 1}]), other.compact):
+            with pytest.raises(RegistryError, match="locked"):
+                write()
+        other.unlock()
+    other.append_rows([{"object_id": 1, "ts": 1, "action_id": 1}])
+    assert t.events().count() == 2
 
 
 def test_messages(db):
@@ -133,8 +160,9 @@ def test_messages(db):
     assert handle(db, "eadd", "t", {"objectId": 0, "timestamp": 1, "actionId": 9})["status"] == "error"
     with pytest.raises(RegistryError):
         handle(db, "eadd", "t", {"objectId": 4, "timestamp": 1, "data": {"v": 1}})
+    assert handle(db, "eadd", "t", {"events": [{"objectId": 4, "timestamp": 1, "actionId": 8}, {"objectId": 4, "timestamp": 2, "actionId": 8}]}) == {"status": "ok"}
     program = '[Hashable("id")] [Serializable] class Result { public Int id; public Float w; } for each (Event e in path.events()) { Result r = data.get(e.actionId); r.w = r.w + e.w; }'
-    assert [tuple(r) for r in handle(db, "peach", "t", {"query": program}).collect()] == [(9, 1.5)]
+    assert [tuple(r) for r in handle(db, "peach", "t", {"query": program}).collect()] == [(8, 0.0), (9, 1.5)]
     with pytest.raises(ValueError):
         handle(db, "other", "t")
 

@@ -64,6 +64,11 @@ def binary(op: str, a: Column, b: Column, kind: str) -> Column:
     return {"+": a + b, "-": a - b, "*": a * b}[op]
 
 
+def now_micros() -> Column:
+    """Microseconds at which the query runs, the same in all its rows."""
+    return F.unix_micros(F.current_timestamp())
+
+
 def iso_micros(text: Column) -> Column:
     """Microseconds of times like ``2010-01-02T10:30:20Z`` (whole seconds, session in UTC); null if not of that form."""
     ok = text.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}Z$")

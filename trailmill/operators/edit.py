@@ -51,6 +51,15 @@ def scan_paths(events: DataFrame, tie_break: str = "lifo", slicing: Slicing | No
     return e.withColumn("position", position).drop("slice")
 
 
+def scan_block(events: DataFrame, objects: tuple[int, int], times: tuple[int, int]) -> DataFrame:
+    """Events of a block: a range of objects and one of times, both ends included.
+
+    The bounds are plain comparisons, so files and row groups outside of them
+    are not read; a table clustered by object and time reads little else.
+    """
+    return events.where(F.col("object_id").between(*objects) & F.col("ts").between(*times))
+
+
 def file_ranges(events: DataFrame) -> DataFrame:
     """Objects and times that each file holds, as its statistics tell a reader."""
     return events.groupBy(F.input_file_name().alias("file")).agg(

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import exactly, prepare
+from ..session import exactly, prepare, stored
 from .paths import first_deliveries, micros, piled_keys
 
 KEYS = ["object_id", "action_id"]
+ROW = ["event_id", "object_id", "ts", "seq", "action_id"]
+#: Features put into columns at a time in a task.
+BLOCK_ROWS = 1 << 16
 
 
 def usable() -> Column:
@@ -30,10 +37,12 @@ def delivered(events: DataFrame) -> DataFrame:
     return _marked(_rows(events))
 
 
+def _order() -> list[Column]:
+    return [F.col("seq").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("object_id").asc_nulls_last(), F.col("action_id").asc_nulls_last()]
+
+
 def _marked(rows: DataFrame) -> DataFrame:
-    first = Window.partitionBy("event_id").orderBy(
-        F.col("seq").asc_nulls_last(), F.col("ts").asc_nulls_last(), F.col("object_id").asc_nulls_last(), F.col("action_id").asc_nulls_last()
-    )
+    first = Window.partitionBy("event_id").orderBy(*_order())
     return rows.withColumn("counts", F.lag(F.lit(1)).over(first).isNull()).where(usable())
 
 
@@ -76,9 +85,10 @@ def apply_deltas(inserted: DataFrame, retracted: DataFrame, live: DataFrame) ->
 def feature_table(events: DataFrame) -> DataFrame:
     """Count, last event and its time of each action in each object's path.
 
-    Every usable delivery is inserted as it comes, combined before the
-    shuffle (of an event delivered extremely often only the first); deliveries that turn out not to be their event's first are then
-    retracted.  So the events themselves are never regrouped by object: only
+    This is the first load of the table that ``update_features`` then keeps up.
+    Every usable delivery is inserted as it comes, combined before the shuffle
+    (of an event delivered extremely often only the first); deliveries that
+    turn out not to be their event's first are then retracted.  So the events themselves are never regrouped by object: only
     the few groups whose latest row was retracted are looked up again.
 
     Events without action (null or 0) are no feature.  Repeated deliveries,
@@ -90,8 +100,43 @@ def feature_table(events: DataFrame) -> DataFrame:
     marked = _marked(rows)
     inserted = deltas(rows.where(usable()), 1)
     retracted = deltas(marked.where(~F.col("counts")), -1)
-    found = apply_deltas(inserted, retracted, marked.where("counts"))
-    return found.select(*KEYS, "n", F.col("last.ts").alias("last_ts"), F.col("last.event_id").alias("last_event_id"))
+    return flat_features(apply_deltas(inserted, retracted, marked.where("counts")))
+
+
+def update_features(deliveries: DataFrame, state: tuple[DataFrame, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(features, firsts)`` after new deliveries, from those before (None at the start).
+
+    ``features`` are ``object_id, action_id, n, last`` and ``firsts`` the first
+    delivery of each event so far, valid or not.  New deliveries meet the firsts
+    of their own events only.  One that is its event's first is inserted, and
+    the one it takes the place of, if any, is retracted; later deliveries of
+    known events change nothing.  Counts are added; the latest event is looked
+    up again only in groups whose latest was retracted.
+
+    Both tables are written to the shared folder, so lineage does not grow with
+    the number of updates.  The order in which deliveries come in batches does
+    not matter, nor does a batch that comes twice.
+    """
+    new = _rows(deliveries)
+    if state is None:
+        features, firsts = new.where(F.lit(False)).transform(deltas, 1), new.where(F.lit(False))
+    else:
+        features, firsts = state
+    known = firsts.join(new.select("event_id").distinct(), "event_id", "left_semi")
+    both = known.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
+    order = Window.partitionBy("event_id").orderBy(*_order(), F.col("old").desc())
+    seen, _ = stored(both.withColumn("first", F.lag(F.lit(1)).over(order).isNull()).where(F.col("first") | F.col("old")))
+    beginning = seen.where("first").select(*ROW)
+    after, _ = stored(firsts.join(seen.select("event_id").distinct(), "event_id", "left_anti").select(*ROW).unionByName(beginning))
+    inserted = deltas(seen.where("first and not old").where(usable()), 1)
+    retracted = deltas(seen.where("old and not first").where(usable()), -1)
+    live = after.where(usable())
+    return stored(apply_deltas(features.unionByName(inserted), retracted, live))[0], after
+
+
+def flat_features(features: DataFrame) -> DataFrame:
+    """``object_id, action_id, n, last_ts, last_event_id``."""
+    return features.select(*KEYS, "n", F.col("last.ts").alias("last_ts"), F.col("last.event_id").alias("last_event_id"))
 
 
 def feature_rows(features: DataFrame) -> DataFrame:
@@ -109,9 +154,54 @@ def feature_rows(features: DataFrame) -> DataFrame:
     )
 
 
+def _dense(action_ids: list[int], names: list[str]):
+    """Rows per object and action, sorted by object, to one row per object with columns per action."""
+    ids = np.array(sorted(action_ids), np.int64)
+    place = np.array([np.searchsorted(ids, a) for a in action_ids], np.int64)
+
+    def wide(rows: pa.Table) -> pa.RecordBatch:
+        obj, action, n, age, total, last = (rows.column(c).combine_chunks().to_numpy() for c in ("object_id", "action_id", "n", "age_us", "n_actions", "last_ts"))
+        starts = np.flatnonzero(np.r_[True, obj[1:] != obj[:-1]])
+        line = np.repeat(np.arange(len(starts)), np.diff(np.r_[starts, len(obj)]))
+        at = np.minimum(np.searchsorted(ids, action), max(0, len(ids) - 1))
+        known = ids[at] == action if len(ids) else np.zeros(len(obj), bool)
+        counts, ages = np.zeros((len(ids), len(starts)), np.int64), np.full((len(ids), len(starts)), -1, np.int64)
+        counts[at[known], line[known]], ages[at[known], line[known]] = n[known], age[known]
+        out = [obj[starts], total[starts], last[starts]]
+        for i in place:
+            out += [counts[i], pa.array(ages[i], mask=ages[i] < 0), counts[i] / total[starts]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in out], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.num_rows
+            if size >= BLOCK_ROWS:
+                rows = pa.Table.from_batches(held)
+                obj = rows.column("object_id").combine_chunks().to_numpy()
+                whole = int(np.searchsorted(obj, obj[-1]))  # the last object may go on
+                if whole:
+                    yield wide(rows.slice(0, whole))
+                held, size = rows.slice(whole).combine_chunks().to_batches(), size - whole
+        if size:
+            yield wide(pa.Table.from_batches(held))
+
+    return run
+
+
 def feature_columns(features: DataFrame, action_ids: list[int]) -> DataFrame:
-    """One row per object with columns ``n_<id>``, ``age_<id>``, ``share_<id>`` for the given actions; counts of 0 where never done."""
-    f = feature_rows(features)
-    at = lambda a: F.col("features")[F.lit(a).cast("int")]
-    wide = [c for a in action_ids for c in (F.coalesce(at(a)["n"], F.lit(0)).alias(f"n_{a}"), at(a)["age_us"].alias(f"age_{a}"), F.coalesce(at(a)["share"], F.lit(0.0)).alias(f"share_{a}"))]
-    return f.select("object_id", "n_actions", "last_ts", *wide)
+    """One row per object with columns ``n_<id>``, ``age_<id>``, ``share_<id>`` for the given actions.
+
+    An action never done has count 0, share 0.0 and no age.  Rows of an object
+    stand together after one shuffle and stream through a task in blocks, in
+    which counts are put into place; an object has at most one row per action.
+
+    Result: ``object_id, n_actions, last_ts`` (of all its actions, given or not) and the columns.
+    """
+    total = Window.partitionBy("object_id")
+    f = features.withColumns({"n_actions": F.sum("n").over(total), "_last": F.max("last_ts").over(total)})
+    f = f.select("object_id", "action_id", "n", (F.col("_last") - F.col("last_ts")).alias("age_us"), "n_actions", F.col("_last").alias("last_ts")).sortWithinPartitions("object_id")
+    schema = "object_id long, n_actions long, last_ts long" + "".join(f", n_{a} long, age_{a} long, share_{a} double" for a in action_ids)
+    names = [c.split()[0] for c in schema.split(", ")]
+    return f.mapInArrow(_dense(action_ids, names), schema)

@@ -54,6 +54,22 @@ def snapshot_history(snapshots: DataFrame, number: str, keys: list[str], values:
     )
 
 
+def periodic_snapshots(log: DataFrame, period: int, kept: int) -> DataFrame:
+    """Snapshots ``object_id, key, number, v_int, v_float, v_bool, v_str`` at the end of every period of ``period`` microseconds.
+
+    A key stands in a snapshot with its last update in path order if that lies
+    in the snapshot's period or the ``kept - 1`` before it; then it is deleted.
+    Periods are numbered from 1970; ``log`` is as ``updates`` gives it.  Updates
+    of one period are combined before the shuffle.
+    """
+    at = F.struct(F.col("ts"), F.coalesce(-F.col("seq"), F.lit(2**63 - 1)).alias("no"), F.col("event_id"))
+    number = F.call_function("div", F.col("ts") - F.pmod("ts", F.lit(period)), F.lit(period))  # rounds down, also before 1970
+    ends = log.groupBy("object_id", "key", number.alias("number")).agg(F.max_by(F.struct(*VALUE), at).alias("v"))
+    following = F.lead("number").over(Window.partitionBy("object_id", "key").orderBy("number"))
+    until = F.least(F.col("number") + (kept - 1), F.coalesce(following - 1, F.col("number") + (kept - 1)))
+    return ends.withColumn("until", until).select("object_id", "key", F.explode(F.sequence("number", "until")).alias("number"), "v.*")
+
+
 def updates(events: DataFrame, event_data: DataFrame, properties: DataFrame) -> DataFrame:
     """Cells with a value, of valid events and object properties, with object and time."""
     have = cells(event_data, properties, objects_only=True).where(F.col("status") != "rejected").drop("status", "kind")

@@ -94,6 +94,12 @@ def transitions(events: DataFrame, tie_break: str = "lifo", slicing: Slicing | N
     return e.withColumn("prev_action_id", before).where(F.col("prev_action_id").isNotNull()).groupBy("prev_action_id", "action_id").agg(F.count("*").alias("n"))
 
 
+def action_statistics(events: DataFrame, column: str) -> DataFrame:
+    """Least, greatest and mean value of a property per action, of the events that set it."""
+    value = F.col(column)
+    return events.where(value.isNotNull()).groupBy("action_id").agg(F.min(value).alias("least"), F.max(value).alias("most"), F.avg(value).alias("mean"), F.count("*").alias("n"))
+
+
 def path_lengths(events: DataFrame) -> DataFrame:
     """Number of events, first and last time of every path."""
     return events.groupBy("object_id").agg(F.count("*").alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))

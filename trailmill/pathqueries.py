@@ -8,21 +8,24 @@ properties ``amount`` and ``flag`` belong to theirs.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .functions.semantics import cast, iso_micros, wrapping
-from .operators.edit import file_ranges, insert_events, remove_events, scan_paths, set_property, unset_property
+from .functions.semantics import cast, iso_micros, now_micros, wrapping
+from .operators.edit import file_ranges, insert_events, remove_events, scan_block, scan_paths, set_property, unset_property
 from .operators.paths import micros, plan_slices
-from .operators.state import path_lengths, state_at, transitions, with_state
+from .operators.state import action_statistics, path_lengths, state_at, transitions, with_state
 from .plans import run
 from .registry import Registry
-from .session import collect_small, prepare, shared_dir
+from .session import collect_small, own_path, prepare
 from .sources.catalog import Database
 from .sources.generator import generate_events
+from .sources.messages import handle
+from .sources.msgpack import to_msgpack
 from .streaming.running import read_events, running_counts
 
 STICKY = {"level": "Int", "balance": "Float", "plan": "String"}
@@ -44,13 +47,48 @@ PROGRAMS = {
     "string_equals": 'if (e.plan.equals("p1")) { Result r = data.get(e.actionId); r.count = r.count + 1; }',
     "multi_get": "Result a = data.get(e.actionId); a.count = a.count + 1; if (e.flag) { Result b = data.get(100 + e.level); b.total = b.total + 1; }",
     "key_expression": "Int bucket = e.level / 30; Result r = data.get(bucket * 10 + e.actionId); r.count = r.count + 1;",
+    "float_arithmetic": "Result r = data.get(e.actionId); r.amount = r.amount + (e.amount - 1.5) * 2.0 / 4.0;",
+    "float_by_zero": "Result r = data.get(e.actionId); if (e.amount / 0.0 == e.amount / 0.0) { r.count = r.count + 1; }",
+    "float_equal": "Result r = data.get(e.actionId); if (e.amount == e.balance) { r.count = r.count + 1; }",
+    "boolean_equal": "Result r = data.get(e.actionId); Boolean even = e.level / 2 * 2 == e.level; if (e.flag == even) { r.count = r.count + 1; }",
     "array_literal": "Array<Int> w = [5, 7]; Result r = data.get(e.actionId); r.total = r.total + w.getItemAt(1) * e.actionId;",
 }
-FOLDS = {
+#: Programs with locals across events, a return or ``find``: planned all the same.
+ACROSS = {
+    "previous_level": "Int prev = 0; Cursor cursor = path.events(); for each (Event e in cursor) { Result r = data.get(e.actionId); r.total = r.total + (e.level - prev); prev = e.level; } return;",
     "fold_first_action": "Cursor cursor = path.events(); for each (Event e in cursor) { Result r = data.get(e.actionId); r.count = r.count + 1; return; }",
     "fold_repeats": "Int prev = 0; Cursor cursor = path.events(); for each (Event e in cursor) { if (e.actionId == prev) { Result r = data.get(prev); r.count = r.count + 1; } prev = e.actionId; } return;",
     "fold_find": LOOP % "Result r = data.find(e.actionId); if (r == null) { Result n = data.get(e.actionId); n.count = n.count + 10; } else { r.count = r.count + 1; }",
 }
+#: Programs with objects of their own, which are interpreted.
+FOLDS = {
+    "class_methods": "class Scale { private Int by; public void init() { this.by = 3; return; } public Int of(Int x) { return x * this.by; } } Scale s; "
+    + LOOP % "Result r = data.get(e.actionId); r.total = r.total + s.of(e.level);",
+    "anonymous_function": "class Calc { public Int twice(Int x, Function<Int a : Int> f) { return f(f(x)); } } Calc c; "
+    + LOOP % "Result r = data.get(e.actionId); r.total = r.total + c.twice(e.level, function(a):Int { return a + 7; });",
+    "terse_lambda": "class Each { public void visit(Int x, Function<Int v : void> f) { f(x + 1); return; } } Each k; "
+    + LOOP % "Int out = 0; k.visit(e.level, :out = v); Result r = data.get(e.actionId); r.total = r.total + out;",
+    "template_class": "class Box<T> { private T item; public void put(T x) { this.item = x; return; } public T take() { return this.item; } } Box<Int> b; Box<Float> f; "
+    + LOOP % "b.put(e.level); f.put(e.amount); Result r = data.get(e.actionId); r.total = r.total + b.take(); r.amount = r.amount + f.take();",
+    "enumerable_class": "[Enumerable] class Range { public Int at; public Int to; public Boolean eof() { return this.at == this.to; } public void next(Range r) { r.at = this.at; this.at = this.at + 1; return; } } "
+    + LOOP % "Range range; range.to = e.level / 10; Result r = data.get(e.actionId); for each (Range i in range) { r.total = r.total + i.at; }",
+    "array_set_item": LOOP % "Array<Int> w = [1, 2, 3]; w.setItemAt(50, e.level / 40); Result r = data.get(e.actionId); r.total = r.total + w.getItemAt(0) + w.getItemAt(1) * 100;",
+    "conditional_return": LOOP % "if (e.flag) { Result r = data.get(e.actionId); r.count = r.count + 1; return; }",
+    "two_loops": "Int n = 0; for each (Event e in path.events()) { n = n + 1; } for each (Event f in path.events()) { Result r = data.get(f.actionId); r.total = r.total + n; } return;",
+    "toggle": LOOP % "Result r = data.get(e.actionId); r.total = 1 - r.total;",
+}
+#: An import with sections in an order of its own, words without quotes and missing commas.
+IMPORT = """{ table: {
+  properties: [ {dataType: Boolean, type: action, name: paid} {name: "floor", dataType: Int, type: object} {type: "action" dataType: "Float" name: "weight"} ]
+  actions: [ {name: check_in}, {name: "check out"} ]
+  blockSize: 128
+  events: [
+    {timestamp: "2031-12-01T00:00:00Z", objectId: 70, action: check_in, data: {floor: 3}}
+    {action: "check out", timestamp: "2031-12-03T11:00:00Z", objectId: 70, data: {paid: true, weight: 12.5}}
+    {objectId: 71, data: {floor: -2, weight: 1}, timestamp: "2031-12-02T09:30:00Z"}
+    {objectId: 71, timestamp: "2031-12-02T10:00:00Z", action: "check out", data: {weight: null}}
+    {objectId: 0, timestamp: "2031-12-02T10:00:00Z", action: "check out"}
+  ] } }"""
 
 
 def paths(spark: SparkSession, d: str) -> DataFrame:
@@ -136,7 +174,7 @@ def timestamp_parse(spark: SparkSession, d: str) -> DataFrame:
 
 def table_append(spark: SparkSession, d: str) -> DataFrame:
     """Events appended to a table of the catalog in two parts, and read back with their state."""
-    table = Database(prepare(spark), f"{shared_dir(spark)}/trailmill/db-{uuid.uuid4().hex}").table("users")
+    table = Database(prepare(spark), own_path(spark, "db")).table("users")
     p = paths(spark, d)
     for name, kind in STICKY.items():
         table.add_property("object", kind, name)
@@ -147,13 +185,92 @@ def table_append(spark: SparkSession, d: str) -> DataFrame:
     return table.with_state(["level", "plan"]).groupBy("object_id").agg(F.count("*").alias("n"), F.sum("level").alias("levels"), F.max("plan").alias("plan"))
 
 
+def table_query(spark: SparkSession, d: str) -> DataFrame:
+    """A program run through the catalog, over events appended as a stream would, one batch of them twice."""
+    table = Database(prepare(spark), own_path(spark, "db")).table("users")
+    p = paths(spark, d)
+    for kind, properties in (("object", STICKY), ("action", TRANSIENT)):
+        for name, data_type in properties.items():
+            table.add_property(kind, data_type, name)
+    for batch in (0, 1, 0):
+        table.append(p.where(F.col("seq") % 2 == batch), f"part-{batch}")
+    return table.query(f"{RESULT} {LOOP % PROGRAMS['state_totals']}")
+
+
+def table_compact(spark: SparkSession, d: str) -> DataFrame:
+    """Path lengths after the files were written anew, clustered; and how many files overlap another in their objects by more than one."""
+    table = Database(prepare(spark), own_path(spark, "db")).table("users")
+    p = paths(spark, d).select("object_id", "ts", "seq", "action_id").where(F.col("action_id").isNotNull())
+    for batch in range(2):
+        table.append(p.where(F.col("seq") % 2 == batch))
+    table.compact(4)
+    files = sorted(collect_small(file_ranges(table.events()).select("min_object_id", "max_object_id")))
+    apart = all(a[1] <= b[0] for a, b in zip(files, files[1:]))
+    return path_lengths(table.events()).withColumn("clustered", F.lit(apart))
+
+
+def json_import(spark: SparkSession, d: str) -> DataFrame:
+    """An import document into a table, and a program over it; the event without object is rejected."""
+    table = Database(prepare(spark), own_path(spark, "db")).table("guests")
+    rejected = table.import_json(IMPORT).count()
+    found = table.query(
+        '[Serializable] [Hashable("floor")] class Result { public Float weight; public Int floor; public Int paid; } for each (Event e in path.events()) '
+        "{ Result r = data.get(e.floor); r.weight = r.weight + e.weight; if (e.paid) { r.paid = r.paid + 1; } }"
+    )
+    return found.withColumn("rejected", F.lit(rejected))
+
+
+def message_requests(spark: SparkSession, d: str) -> DataFrame:
+    """Each of the eight requests, and what it answers."""
+    db = Database(prepare(spark), own_path(spark, "db"))
+    program = '[Hashable("id")] [Serializable] class Result { public Int id; public Int n; } for each (Event e in path.events()) { Result r = data.get(e.actionId); r.n = r.n + e.rank; }'
+    sent = [
+        ("aadd", {"name": "open"}), ("padd", {"type": "object", "dataType": "Int", "name": "rank"}), ("aget", {"actionId": 1}), ("aget", {"actionId": 9}), ("pget", {"propertyId": 1}),
+        ("aall", None), ("pall", None), ("eadd", {"objectId": 5, "timestamp": 10, "actionId": 1, "data": {"rank": 4}}), ("eadd", {"objectId": -5, "timestamp": 10, "actionId": 1}),
+        ("eadd", {"events": [{"objectId": 5, "timestamp": 20, "actionId": 1}, {"objectId": 6, "timestamp": 5, "actionId": 2}]}),
+        ("peach", {"query": program}),
+    ]
+    rows = []
+    for step, (name, body) in enumerate(sent):
+        answer = handle(db, name, "t", body)
+        rows.append((step, name, json.dumps([r.asDict() for r in answer.collect()] if isinstance(answer, DataFrame) else answer)))
+    return spark.createDataFrame(rows, "step int, request string, answer string")
+
+
+def msgpack_rows(spark: SparkSession, d: str) -> DataFrame:
+    found = run(f"{RESULT} {LOOP % PROGRAMS['action_count']}", paths(spark, d), STICKY, TRANSIENT).select("id", "count")
+    return to_msgpack(found).select(F.lower(F.hex("value")).alias("packed"))
+
+
+def last_write_ties(spark: SparkSession, d: str) -> DataFrame:
+    """Last writes on a coarse clock, where one event of an object and day may lack its number of arrival."""
+    p = paths(spark, d).withColumn("ts", F.col("ts") - F.col("ts") % 86_400_000_000)
+    bare = F.min(F.when(F.col("seq") % 7 == 0, F.col("seq"))).over(Window.partitionBy("object_id", "ts"))
+    p = p.withColumn("_bare", bare).withColumn("seq", F.when(F.col("seq").eqNullSafe(F.col("_bare")), F.lit(None)).otherwise(F.col("seq"))).drop("_bare")
+    return run(f"{RESULT} {LOOP % PROGRAMS['last_write']}", p, STICKY, TRANSIENT, "declarative").select("id", "last")
+
+
+def amount_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return action_statistics(paths(spark, d), "amount")
+
+
+def block_scan(spark: SparkSession, d: str) -> DataFrame:
+    return scan_block(paths(spark, d), (10, 60), (1_704_067_200_000_000, 1_705_276_800_000_000)).select("object_id", "ts", "seq")
+
+
+def timestamp_now(spark: SparkSession, d: str) -> DataFrame:
+    """The time is one for all rows, and after the events."""
+    p = paths(spark, d).withColumn("now", now_micros())
+    return p.agg(F.count_distinct("now").alias("times"), F.min(F.col("now") > F.col("ts")).alias("later"))
+
+
 def stream_action_count(spark: SparkSession, d: str) -> DataFrame:
     """Counts kept by a stream over the events, run until all that is there is read."""
     schema = prepare(spark).read.parquet(f"{d}/events.parquet").schema
     name = f"counts_{uuid.uuid4().hex}"
     stream = read_events(spark, d, "events", schema).withColumn("action_id", F.col("event_type"))
     job = running_counts(stream).writeStream.outputMode("complete").format("memory").queryName(name)
-    job.option("checkpointLocation", f"{shared_dir(spark)}/trailmill/{name}").trigger(availableNow=True).start().awaitTermination()
+    job.option("checkpointLocation", own_path(spark, "stream")).trigger(availableNow=True).start().awaitTermination()
     return spark.table(name).select(F.col("action_id").alias("event_type"), "n")
 
 
@@ -182,18 +299,20 @@ def block_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def synthetic_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Paths of the generator, one for each user of the table's size class."""
+    """A thousand paths of the generator, which reads no table."""
     return path_lengths(generate_events(prepare(spark), paths=1_000, average_events=10, actions=100, seed=7)).select("object_id", "n")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     **{n: _program(n, LOOP % body, "declarative") for n, body in PROGRAMS.items()},
+    **{n: _program(n, text, "declarative") for n, text in ACROSS.items()},
     **{n: _program(n, text, "fold") for n, text in FOLDS.items()},
     **{
         f.__name__: f
         for f in (
             action_registry, step_counts, path_length, event_state, event_state_fifo, event_state_lifo, property_zero_defaults, state_at_time,
-            bool_from_number, timestamp_parse, event_scan, event_insert_remove, event_set_unset, block_ranges, table_append, stream_action_count, synthetic_paths,
+            bool_from_number, timestamp_parse, event_scan, event_insert_remove, event_set_unset, block_ranges, table_append, table_query, table_compact,
+            json_import, message_requests, msgpack_rows, last_write_ties, amount_statistics, block_scan, timestamp_now, stream_action_count, synthetic_paths,
         )
     },
 }
@@ -238,6 +357,40 @@ UNION ALL SELECT 100 + level AS id, 0::BIGINT AS count, count(*) AS total, 0::DO
 SELECT id, count(*) AS count, 0::BIGINT AS total, 0::DOUBLE AS amount, 0::BIGINT AS last FROM f GROUP BY id""",
     "fold_repeats": f"{_STEPS} SELECT action_id::BIGINT AS id, count(*) AS count, 0::BIGINT AS total, 0::DOUBLE AS amount, 0::BIGINT AS last FROM l WHERE prev = action_id GROUP BY 1",
     "fold_find": _grouped("count(*) + 9"),
+    "previous_level": f"""{STATE}, b AS (SELECT *, level - lag(level, 1, 0) OVER (PARTITION BY object_id ORDER BY ts, seq DESC) AS step FROM s)
+SELECT action_id::BIGINT AS id, 0::BIGINT AS count, sum(step)::BIGINT AS total, 0::DOUBLE AS amount, 0::BIGINT AS last FROM b GROUP BY 1""",
+    "float_arithmetic": _grouped(amount="sum((amount - 1.5::DOUBLE) * 2 / 4)"),
+    "float_by_zero": _grouped("count(*) FILTER (amount <> 0)"),
+    "float_equal": _grouped("count(*) FILTER (amount = balance)"),
+    "boolean_equal": _grouped("count(*) FILTER (flag = (level // 2 * 2 = level))"),
+    "class_methods": _grouped(total="sum(level * 3)::BIGINT"),
+    "anonymous_function": _grouped(total="sum(level + 14)::BIGINT"),
+    "terse_lambda": _grouped(total="sum(level + 1)::BIGINT"),
+    "template_class": _grouped(total="sum(level)::BIGINT", amount="sum(amount)"),
+    "enumerable_class": _grouped(total="sum((level // 10) * (level // 10 - 1) // 2)::BIGINT"),
+    "array_set_item": _grouped(total="sum(CASE WHEN level // 40 = 0 THEN 50 ELSE 1 END + 100 * CASE WHEN level // 40 = 1 THEN 50 ELSE 2 END)::BIGINT"),
+    "conditional_return": f"""{STATE}, f AS (SELECT first(action_id ORDER BY ts, seq DESC)::BIGINT AS id FROM s WHERE flag GROUP BY object_id)
+SELECT id, count(*) AS count, 0::BIGINT AS total, 0::DOUBLE AS amount, 0::BIGINT AS last FROM f GROUP BY id""",
+    "two_loops": f"""{STATE}, n AS (SELECT action_id, count(*) OVER (PARTITION BY object_id) AS n FROM s)
+SELECT action_id::BIGINT AS id, 0::BIGINT AS count, sum(n)::BIGINT AS total, 0::DOUBLE AS amount, 0::BIGINT AS last FROM n GROUP BY 1""",
+    "toggle": _grouped(total="count(*) % 2"),
+    "table_query": _grouped("count(*)", "sum(level)::BIGINT", "sum(amount)", where="object_id > 0"),
+    "table_compact": "SELECT user_id AS object_id, count(*) AS n, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts, true AS clustered FROM events WHERE user_id > 0 AND event_type IS NOT NULL GROUP BY 1",
+    "json_import": "SELECT * FROM (VALUES (12.5::DOUBLE, 3::BIGINT, 1::BIGINT, 1), (1.0::DOUBLE, -2::BIGINT, 0::BIGINT, 1)) t(weight, floor, paid, rejected)",
+    "message_requests": """SELECT * FROM (VALUES
+  (0, 'aadd', '{"id": 1, "name": "open"}'), (1, 'padd', '{"id": 1, "type": "object", "dataType": "Int", "name": "rank"}'), (2, 'aget', '{"id": 1, "name": "open"}'), (3, 'aget', 'null'),
+  (4, 'pget', '{"id": 1, "type": "object", "dataType": "Int", "name": "rank"}'), (5, 'aall', '[{"id": 1, "name": "open"}]'),
+  (6, 'pall', '[{"id": 1, "type": "object", "dataType": "Int", "name": "rank"}]'), (7, 'eadd', '{"status": "ok"}'), (8, 'eadd', '{"status": "error", "reason": "object id must be above 0"}'),
+  (9, 'eadd', '{"status": "ok"}'), (10, 'peach', '[{"id": 1, "n": 8}, {"id": 2, "n": 0}]')) t(step, request, answer)""",
+    "msgpack_rows": f"""{STATE}, g AS (SELECT action_id::BIGINT AS id, count(*) AS n FROM s GROUP BY 1)
+SELECT '82a26964' || printf('%02x', id) || 'a5636f756e74' || CASE WHEN n < 128 THEN printf('%02x', n) WHEN n < 256 THEN 'cc' || printf('%02x', n) WHEN n < 65536 THEN 'cd' || printf('%04x', n) ELSE 'ce' || printf('%08x', n) END AS packed FROM g""",
+    "last_write_ties": f"""WITH {PATHS}, q AS (SELECT object_id, ts - ts % 86400000000 AS ts, seq, action_id, level FROM p),
+b AS (SELECT * REPLACE (CASE WHEN seq = min(CASE WHEN seq % 7 = 0 THEN seq END) OVER (PARTITION BY object_id, ts) THEN NULL ELSE seq END AS seq) FROM q),
+s AS (SELECT object_id, ts, seq, action_id, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY ts, seq DESC NULLS LAST ROWS UNBOUNDED PRECEDING), 0) AS level FROM b)
+SELECT action_id::BIGINT AS id, last(level ORDER BY object_id, ts, seq DESC NULLS LAST) AS last FROM s GROUP BY 1""",
+    "amount_statistics": f"WITH {PATHS} SELECT action_id, min(amount) AS least, max(amount) AS most, avg(amount) AS mean, count(*) AS n FROM p WHERE amount IS NOT NULL GROUP BY 1",
+    "block_scan": f"WITH {PATHS} SELECT object_id, ts, seq FROM p WHERE object_id BETWEEN 10 AND 60 AND ts BETWEEN 1704067200000000 AND 1705276800000000",
+    "timestamp_now": "SELECT 1::BIGINT AS times, true AS later",
     "action_registry": "SELECT row_number() OVER (ORDER BY min(event_id))::INTEGER AS id, event_type AS name FROM events GROUP BY event_type",
     "step_counts": f"{_STEPS} SELECT prev AS prev_action_id, action_id, count(*) AS n FROM l WHERE prev IS NOT NULL GROUP BY ALL",
     "path_length": "SELECT user_id AS object_id, count(*) AS n, epoch_us(min(ts)) AS first_ts, epoch_us(max(ts)) AS last_ts FROM events GROUP BY 1",

@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{own}"
 
 
-def _file_system(spark: SparkSession, path: str):
+def file_system(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
@@ -49,7 +49,7 @@ def _file_system(spark: SparkSession, path: str):
 def own_path(spark: SparkSession, kind: str = "table") -> str:
     """A new path in the shared folder; it is removed when the application ends, or by ``drop_stored``."""
     path = f"{shared_dir(spark)}/trailmill/{kind}-{uuid.uuid4().hex}"
-    fs, p = _file_system(spark, path)
+    fs, p = file_system(spark, path)
     fs.mkdirs(p)
     fs.deleteOnExit(p)
     _stored.append(path)
@@ -59,7 +59,7 @@ def own_path(spark: SparkSession, kind: str = "table") -> str:
 def drop_stored(spark: SparkSession, since: int = 0) -> None:
     """Remove intermediate tables; results that are computed from them must have been taken."""
     while len(_stored) > since:
-        fs, p = _file_system(spark, _stored.pop())
+        fs, p = file_system(spark, _stored.pop())
         fs.delete(p, True)
         fs.cancelDeleteOnExit(p)
 

@@ -1,24 +1,27 @@
 """Databases and tables: a table holds the events of one type of object.
 
-A table is a folder with ``events`` (Parquet, one column per property) and
-``registry`` (one small file per version).  Nothing is updated in place:
-appends add files, and a new registry version is written beside the old one,
-where a second writer of the same version fails.
+A table is a folder with ``events`` (Parquet, one column per property),
+``batches`` (the same, a folder per batch of a stream) and ``registry`` (one
+small file per version, which also names the folder of events).  Nothing is
+updated in place: appends add files, and a new registry version is written
+beside the old one, where a second writer of the same version fails.  Writers
+hold the table's lock, a file that only one can create.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.paths import Slicing, micros
+from ..operators.paths import Slicing, micros, plan_slices
 from ..operators.state import path_lengths, state_at, transitions, with_state
 from ..registry import Action, Property, Registry, RegistryError
-from ..session import prepare
+from ..session import file_system, prepare
 from ..types import DATA_TYPES
 from .jsonimport import parse_lenient, parse_timestamp
 
@@ -42,23 +45,48 @@ class Database:
 class Table:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.folder, self._holds = "events", False
         self.registry, self._version = self._load()
 
     def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+        fs, p = file_system(self.spark, path)
+        return fs.exists(p)
+
+    @contextmanager
+    def locked(self) -> Iterator[None]:
+        """Hold the lock that writers take; an error if another one has it."""
+        if self._holds:
+            yield
+            return
+        fs, p = file_system(self.spark, f"{self.path}/lock")
+        try:
+            fs.create(p, False).close()
+        except Exception as e:
+            raise RegistryError(f"the table is locked: {p}") from e
+        self._holds = True
+        try:
+            yield
+        finally:
+            self._holds = False
+            fs.delete(p, False)
+
+    def unlock(self) -> None:
+        """Remove a lock that a lost writer left."""
+        fs, p = file_system(self.spark, f"{self.path}/lock")
+        fs.delete(p, False)
 
     def _load(self) -> tuple[Registry, int]:
-        version = 0
-        while self._exists(f"{self.path}/registry/v{version + 1}"):
-            version += 1
+        fs, p = file_system(self.spark, f"{self.path}/registry")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        version = max((int(n[1:]) for n in names if n[1:].isdigit()), default=0)
         if not version:
             return Registry(), 0
-        text = self.spark.read.text(f"{self.path}/registry/v{version}", wholetext=True).first()[0]
-        return Registry.from_dict(json.loads(text)), version
+        content = json.loads(self.spark.read.text(f"{self.path}/registry/v{version}", wholetext=True).first()[0])
+        self.folder = content.get("folder", "events")
+        return Registry.from_dict(content), version
 
     def _save(self) -> None:
-        row = self.spark.createDataFrame([(json.dumps(self.registry.to_dict()),)], "value string").coalesce(1)
+        row = self.spark.createDataFrame([(json.dumps(self.registry.to_dict() | {"folder": self.folder}),)], "value string").coalesce(1)
         row.write.mode("errorifexists").text(f"{self.path}/registry/v{self._version + 1}")
         self._version += 1
 
@@ -96,11 +124,17 @@ class Table:
 
     def events(self) -> DataFrame:
         """All events with every registered property; properties that a file lacks are null there."""
-        if not self._exists(f"{self.path}/events"):
-            return self.spark.createDataFrame([], self.schema())
-        return self.spark.read.schema(self.schema()).parquet(f"{self.path}/events")
+        return self._read(self._folders())
 
-    def append(self, rows: DataFrame) -> DataFrame:
+    def _folders(self) -> list[str]:
+        fs, p = file_system(self.spark, f"{self.path}/batches")
+        batches = [f"{self.path}/batches/{f.getPath().getName()}" for f in fs.listStatus(p)] if fs.exists(p) else []
+        return [f for f in (f"{self.path}/{self.folder}", *sorted(batches)) if self._exists(f)]
+
+    def _read(self, folders: list[str]) -> DataFrame:
+        return self.spark.read.schema(self.schema()).parquet(*folders) if folders else self.spark.createDataFrame([], self.schema())
+
+    def append(self, rows: DataFrame, batch: str | None = None) -> DataFrame:
         """Append valid events; the rejected rows with a ``reason``.
 
         ``rows`` have ``object_id``, ``timestamp`` or ``ts`` (microseconds),
@@ -109,8 +143,13 @@ class Table:
         that cannot be cast, an object not above 0, a missing time or an event
         with neither action nor data is rejected.  An id of an action need not
         be registered.  Columns that are no property are an error.  Without
-        ``seq`` rows are numbered after those already stored.
+        ``seq`` rows are numbered after those already stored.  A ``batch`` that
+        is appended again takes the place of what it wrote before.
         """
+        with self.locked():
+            return self._append(rows, batch)
+
+    def _append(self, rows: DataFrame, batch: str | None) -> DataFrame:
         given = set(rows.columns) - {"object_id", "timestamp", "ts", "seq", "action_id", "action"}
         known = {p.name: p for p in self.registry.all_properties()}
         if unknown := given - set(known):
@@ -141,10 +180,14 @@ class Table:
         out = out.withColumn("reason", reason)
         good = out.where(F.col("reason").isNull())
         if "seq" not in rows.columns:
-            last = self.events().agg(F.max("seq")).first()[0]
+            own = f"{self.path}/batches/{batch}"
+            last = self._read([f for f in self._folders() if f != own]).agg(F.max("seq")).first()[0]
             good = good.withColumn("seq", F.monotonically_increasing_id() + F.lit((last if last is not None else -1) + 1))
         good = good.select(F.col("object_id").cast("long"), "ts", F.col("seq").cast("long"), F.coalesce("_action", F.lit(0)).alias("action_id"), *(v.alias(c) for c, v in values.items()))
-        good.write.mode("append").parquet(f"{self.path}/events")
+        if batch is None:
+            good.write.mode("append").parquet(f"{self.path}/{self.folder}")
+        else:
+            good.write.mode("overwrite").parquet(f"{self.path}/batches/{batch}")
         return out.where(F.col("reason").isNotNull()).select(*rows.columns, "reason")
 
     def append_rows(self, rows: Iterable[dict]) -> DataFrame:
@@ -160,9 +203,22 @@ class Table:
         data = [tuple(r.get(f.name) for f in fields) for r in rows]
         return self.append(self.spark.createDataFrame(data, fields).coalesce(1))
 
-    def compact(self, buckets: int = 64) -> DataFrame:
-        """Events clustered by object and time, for files whose statistics skip by object and time."""
-        return self.events().repartitionByRange(buckets, "object_id", "ts").sortWithinPartitions("object_id", "ts")
+    def compact(self, files: int = 64) -> None:
+        """Write the events anew, clustered by object and time, in files whose statistics skip by both.
+
+        Ranges are found from a sample, so a hot object fills several files.
+        Readers see the old folder until the registry names the new one; the
+        old one and the batches taken over are removed then.
+        """
+        with self.locked():
+            old = self._folders()
+            folder = f"events-{self._version + 1}"
+            self.events().repartitionByRange(files, "object_id", "ts").sortWithinPartitions("object_id", "ts", F.col("seq").desc()).write.parquet(f"{self.path}/{folder}")
+            self.folder = folder
+            self._save()
+            for path in old:
+                fs, p = file_system(self.spark, path)
+                fs.delete(p, True)
 
     def import_json(self, text: str) -> DataFrame:
         """Import a document ``{table: {actions, properties, events}}``; the rejected events.
@@ -223,7 +279,10 @@ class Table:
         if unknown := wanted - set(sticky) - set(transient):
             raise RegistryError(f"unknown properties: {sorted(unknown)}")
         sticky, transient = ({n: t for n, t in d.items() if n in wanted} for d in (sticky, transient))
-        return with_state(self.events().select("object_id", "ts", "seq", "action_id", *sorted(wanted)), sticky, transient, slicing=slicing)
+        events = self.events().select("object_id", "ts", "seq", "action_id", *sorted(wanted))
+        if slicing is None and sticky:
+            slicing = plan_slices(events, time="ts")
+        return with_state(events, sticky, transient, slicing=slicing)
 
     def state_at(self, at: int) -> DataFrame:
         return state_at(self.events(), at, self.kinds()[0])
@@ -232,7 +291,8 @@ class Table:
         return self.events().where(F.col("object_id") == object_id).orderBy("ts", F.col("seq").desc())
 
     def transitions(self) -> DataFrame:
-        return transitions(self.events())
+        events = self.events()
+        return transitions(events, slicing=plan_slices(events, time="ts"))
 
     def path_lengths(self) -> DataFrame:
         return path_lengths(self.events())

@@ -9,19 +9,22 @@ from .catalog import Database
 def handle(database: Database, name: str, table: str, body: dict | None = None) -> object:
     """Answer one request.
 
-    ``eadd`` adds an event ``{objectId, timestamp, actionId, data}``; ``aadd``,
+    ``eadd`` adds an event ``{objectId, timestamp, actionId, data}``, or all of
+    a list ``events`` of them in one write; ``aadd``,
     ``aget``, ``aall`` and ``padd``, ``pget``, ``pall`` add, get and list
     actions and properties; ``peach`` runs the path program in ``query``.
     Results are plain values, of ``peach`` a DataFrame.  A missing id gives None.
     """
     t, body = database.table(table), body or {}
     if name == "eadd":
-        data = body.get("data") or {}
-        for key in data:
-            if t.registry.property_named(key) is None:
-                raise RegistryError(f"unknown property: {key}")
-        row = {"object_id": body["objectId"], "ts": body["timestamp"], "action_id": body.get("actionId"), **data}
-        rejected = t.append_rows([row]).select("reason").collect()
+        rows = []
+        for event in body.get("events", [body]):
+            data = event.get("data") or {}
+            for key in data:
+                if t.registry.property_named(key) is None:
+                    raise RegistryError(f"unknown property: {key}")
+            rows.append({"object_id": event["objectId"], "ts": event["timestamp"], "action_id": event.get("actionId"), **data})
+        rejected = t.append_rows(rows).select("reason").collect()
         return {"status": "error", "reason": rejected[0][0]} if rejected else {"status": "ok"}
     if name == "aadd":
         return _action(t.add_action(body["name"]))

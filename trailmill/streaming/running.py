@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,10 +13,15 @@ from ..sources.catalog import Table
 def append_stream(table: Table, stream: DataFrame, checkpoint: str, available_now: bool = True):
     """Append every micro-batch of events to a table; rejected rows are dropped.
 
-    A batch that is run again after a failure is written again; give events a
-    ``seq`` of their own if they must be told apart.
+    A batch that is run again after a failure takes the place of what it wrote
+    before: its folder is named after the checkpoint and its number.
     """
-    writer = stream.writeStream.foreachBatch(lambda batch, _: table.append(batch) and None).option("checkpointLocation", checkpoint)
+    name = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def write(batch: DataFrame, number: int) -> None:
+        table.append(batch, f"{name}-{number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

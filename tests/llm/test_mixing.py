@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from trailmill.llm.mixing import VOCABULARY, encoder, integrated, mix_sources, ramps, token_counts
+from trailmill.llm.mixing import VOCABULARY, encoder, integrated, lengths, mix_sources, ramps, token_counts
 
 pytestmark = pytest.mark.skipif(not os.path.exists(VOCABULARY), reason="no vocabulary file")
 
@@ -68,6 +68,24 @@ def test_same_mixture_at_any_partitioning(spark):
     assert a == b
 
 
+def test_default_total_meets_every_target(spark):
+    """The source that is used up first bounds the total; a source without documents does not."""
+    mixture, report = mix_sources(documents(spark), targets(spark, [("big", 0.5, 1), ("mid", 0.3, 2), ("small", 0.1, 3), ("void", 0.1, 4)]))
+    shares = {r.source: r for r in report.collect()}
+    biggest = max(r.tokens for r in mixture.collect())
+    limits = {s: r.max_repeats * r.available_tokens / r.target_share for s, r in shares.items() if r.available_tokens}
+    total = shares["big"].largest_total
+    assert total == pytest.approx(min(limits.values())) and limits["small"] == min(limits.values())
+    assert shares["small"].tokens == 3 * shares["small"].available_tokens and shares["small"].most_copies == 3
+    assert all(0 <= r.tokens - r.target_share * total < biggest or s in ("void", "small") for s, r in shares.items())
+
+
+def test_buckets_do_not_matter(spark):
+    t = targets(spark, [("big", 0.7, 1), ("mid", 0.3, 2)])
+    a, b = (sorted(map(tuple, mix_sources(documents(spark), t, 900, bucket_rows=n, sizes=lengths)[0].collect())) for n in (5, 1_000))
+    assert a == b and len(a) > 10
+
+
 def test_empty(spark):
     d, t = documents(spark), targets(spark, [("big", 1.0, 1)])
     mixture, report = mix_sources(d.where("false"), t)

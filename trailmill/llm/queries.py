@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..queries import load
 from .leaks import leaked_items
-from .mixing import mix_sources
+from .mixing import lengths, mix_sources
 from .patterns import all_patterns, closed_patterns
 from .residue import residue_coverage, without_residue
 from .runs import collapse_runs
@@ -52,4 +52,15 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"))[1]
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p9_mix, p9_shares, p10_found, p10_coverage)}
+def p9_lengths(spark: SparkSession, d: str) -> DataFrame:
+    """The mixture by numbers of characters."""
+    found = mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"), sizes=lengths)[0]
+    return found.select("source", "doc_id", "copy", "tokens", F.round("position", 9).alias("position"))
+
+
+def p9_length_shares(spark: SparkSession, d: str) -> DataFrame:
+    found = mix_sources(load(spark, d, "documents"), load(spark, d, "mix_target"), sizes=lengths)[1]
+    return found.withColumns({c: F.round(c, 9) for c in ("target_share", "share")}).withColumn("largest_total", F.round("largest_total", 3))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p9_mix, p9_shares, p9_lengths, p9_length_shares, p10_found, p10_coverage)}

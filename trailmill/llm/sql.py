@@ -31,7 +31,32 @@ triples AS (
   SELECT DISTINCT x.object_id, x.a, x.b, y.action_id AS c
   FROM held x JOIN kept y ON x.object_id = y.object_id AND y.pos > x.pos AND y.ts - x.ts <= 1800000000)"""
 
+MIXTURE = """WITH named AS (SELECT source, greatest(0, coalesce(sum(target_share), 0)) AS w, greatest(0, coalesce(max(max_repeats), 0)) AS r FROM mix_target WHERE source IS NOT NULL GROUP BY source),
+goals AS (SELECT source, w / sum(w) OVER () AS share, r FROM named),
+sized AS (
+  SELECT d.source, doc_id, length(text) AS tokens, ('0x' || substr(md5('0 ' || doc_id), 1, 15))::BIGINT AS h
+  FROM documents d JOIN goals g ON g.source = d.source WHERE doc_id IS NOT NULL AND length(text) > 0),
+placed AS (
+  SELECT *, coalesce(sum(tokens) OVER (PARTITION BY source ORDER BY h, doc_id, tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off, (sum(tokens) OVER (PARTITION BY source))::BIGINT AS every
+  FROM sized),
+stock AS (SELECT g.*, coalesce(every, 0) AS every FROM goals g LEFT JOIN (SELECT source, sum(tokens)::BIGINT AS every FROM sized GROUP BY source) s ON s.source = g.source),
+largest AS (SELECT coalesce(min(r * every / share), 0) AS total FROM stock WHERE r * every * share > 0),
+leaning AS (SELECT sum(share * r) AS mean FROM goals),
+plan AS (
+  SELECT source, share, r, every, least(share * (SELECT total FROM largest), (r * every)::DOUBLE) AS demand,
+    0.5 * (r - (SELECT mean FROM leaning)) / (SELECT coalesce(nullif(max(abs(r - (SELECT mean FROM leaning))), 0), 1) FROM goals) AS slope
+  FROM stock),
+copies AS (
+  SELECT p.source, p.doc_id, p.tokens, unnest(generate_series(0, ceil((demand - off) / p.every)::BIGINT - 1))::INTEGER AS copy, off, p.every, demand, share, slope
+  FROM placed p JOIN plan USING (source) WHERE off < demand),
+reached AS (SELECT *, (copy * every + off) / demand * share AS q, share * (1 - slope) AS w, 2 * share * slope AS s FROM copies)"""
+
 SQL: dict[str, str] = {
+    "p9_lengths": f"""{MIXTURE} SELECT source, doc_id, copy, tokens, round(CASE WHEN q <= 0 THEN 0 ELSE 2 * q / (w + sqrt(greatest(w * w + 2 * s * q, 0))) END, 9) AS position FROM reached""",
+    "p9_length_shares": f"""{MIXTURE}, taken AS (SELECT source, count(*) FILTER (copy = 0) AS documents, max(copy) + 1 AS most_copies, sum(tokens)::BIGINT AS tokens FROM copies GROUP BY source)
+SELECT s.source, round(s.share, 9) AS target_share, s.every AS available_tokens, s.r AS max_repeats, coalesce(documents, 0) AS documents, coalesce(most_copies, 0) AS most_copies,
+  coalesce(tokens, 0) AS tokens, round(coalesce(tokens / nullif(sum(tokens) OVER (), 0), 0), 9) AS share, round((SELECT total FROM largest), 3) AS largest_total
+FROM stock s LEFT JOIN taken t ON t.source = s.source""",
     "p2_found": f"{RUNS} SELECT object_id, first_event_id, last_event_id FROM runs WHERE n_events > 1",
     "p4_found": f"{TRIPLES} SELECT a AS action_1, b AS action_2, c AS action_3 FROM triples GROUP BY a, b, c HAVING count(*) >= (SELECT n FROM least)",
     "p2_runs": f"{RUNS} SELECT * FROM runs",

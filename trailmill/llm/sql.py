@@ -31,6 +31,24 @@ triples AS (
   SELECT DISTINCT x.object_id, x.a, x.b, y.action_id AS c
   FROM held x JOIN kept y ON x.object_id = y.object_id AND y.pos > x.pos AND y.ts - x.ts <= 1800000000)"""
 
+#: Steps up to which patterns are followed in SQL; longer ones would be missed.
+STEPS = 14
+
+
+def _closed() -> str:
+    """Frequent patterns level by level; closed are those without a longer one of the same support around them."""
+    parts = [TRIPLES[: TRIPLES.index("pairs AS")] + "l1 AS (SELECT object_id, action_id::VARCHAR AS p, pos, ts FROM kept)"]
+    for k in range(1, STEPS + 1):
+        parts.append(f"f{k} AS MATERIALIZED (SELECT p, {k} AS steps, count(DISTINCT object_id) AS support FROM l{k} GROUP BY p HAVING count(DISTINCT object_id) >= (SELECT n FROM least))")
+        parts.append(f"""l{k + 1} AS MATERIALIZED (
+  SELECT DISTINCT x.object_id, x.p || ' ' || y.action_id AS p, y.pos, y.ts
+  FROM (SELECT * FROM l{k} SEMI JOIN f{k} USING (p)) x JOIN kept y ON x.object_id = y.object_id AND y.pos > x.pos AND y.ts - x.ts <= 1800000000)""")
+    parts.append("often AS (" + " UNION ALL ".join(f"SELECT * FROM f{k}" for k in range(1, STEPS + 1)) + ")")
+    parts.append("""inner_parts AS (
+  SELECT unnest([regexp_replace(p, ' [0-9]+$', ''), regexp_replace(p, '^[0-9]+ ', '')]) AS p, support FROM often WHERE steps > 1)""")
+    return ",\n".join(parts) + "\nSELECT p AS actions, steps, support FROM often o ANTI JOIN inner_parts i ON i.p = o.p AND i.support = o.support"
+
+
 MIXTURE = """WITH named AS (SELECT source, greatest(0, coalesce(sum(target_share), 0)) AS w, greatest(0, coalesce(max(max_repeats), 0)) AS r FROM mix_target WHERE source IS NOT NULL GROUP BY source),
 goals AS (SELECT source, w / sum(w) OVER () AS share, r FROM named),
 sized AS (
@@ -52,6 +70,7 @@ copies AS (
 reached AS (SELECT *, (copy * every + off) / demand * share AS q, share * (1 - slope) AS w, 2 * share * slope AS s FROM copies)"""
 
 SQL: dict[str, str] = {
+    "p4_closed": _closed(),
     "p9_lengths": f"""{MIXTURE} SELECT source, doc_id, copy, tokens, round(CASE WHEN q <= 0 THEN 0 ELSE 2 * q / (w + sqrt(greatest(w * w + 2 * s * q, 0))) END, 9) AS position FROM reached""",
     "p9_length_shares": f"""{MIXTURE}, taken AS (SELECT source, count(*) FILTER (copy = 0) AS documents, max(copy) + 1 AS most_copies, sum(tokens)::BIGINT AS tokens FROM copies GROUP BY source)
 SELECT s.source, round(s.share, 9) AS target_share, s.every AS available_tokens, s.r AS max_repeats, coalesce(documents, 0) AS documents, coalesce(most_copies, 0) AS most_copies,

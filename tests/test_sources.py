@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from trailmill.operators.state import path_lengths
 from trailmill.registry import RegistryError
 from trailmill.sources.catalog import Database
+from trailmill.sources.footers import footer_ranges
 from trailmill.sources.generator import generate_events
 from trailmill.sources.jsonimport import parse_lenient, parse_timestamp
 from trailmill.sources.messages import handle
@@ -167,6 +168,15 @@ def test_messages(db):
         handle(db, "other", "t")
 
 
+def test_footers(spark, tmp_path):
+    df = spark.range(0, 100, 1, 4).selectExpr("id", "timestamp_micros(id * 10) AS at", "CAST(NULL AS LONG) AS none", "CAST(id AS STRING) AS text", "IF(id < 25, NULL, id) AS some")
+    df.write.option("parquet.block.size", 1024).parquet(f"{tmp_path}/t")
+    got = sorted(map(tuple, footer_ranges(spark, f"file://{tmp_path}/t", ["id", "none", "text", "some", "missing"]).drop("file").collect()))
+    assert [r[:3] for r in got] == [(25, i, i + 24) for i in (0, 25, 50, 75)]
+    assert all(r[3:7] == (None,) * 4 and r[9:] == (None, None) for r in got) and [r[7:9] for r in got] == [(None, None), (25, 49), (50, 74), (75, 99)]
+    assert footer_ranges(spark, f"file://{tmp_path}/t", []).count() == 4
+
+
 def unpack(b: bytes):
     """Reads what ``pack`` writes: value and rest."""
     c, rest = b[0], b[1:]

@@ -23,6 +23,7 @@ from .plans import run
 from .registry import Registry
 from .session import collect_small, own_path, prepare
 from .sources.catalog import Database
+from .sources.footers import footer_ranges
 from .sources.generator import generate_events
 from .sources.messages import handle
 from .sources.msgpack import to_msgpack
@@ -298,6 +299,12 @@ def block_ranges(spark: SparkSession, d: str) -> DataFrame:
     return files.agg(F.min("min_object_id").alias("min_object_id"), F.max("max_object_id").alias("max_object_id"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("n").alias("n"))
 
 
+def block_footers(spark: SparkSession, d: str) -> DataFrame:
+    """The same ranges from the files' footers, of the stored columns."""
+    found = footer_ranges(prepare(spark), f"{d}/events.parquet", ["user_id", "ts"])
+    return found.agg(F.min("min_user_id").alias("min_user_id"), F.max("max_user_id").alias("max_user_id"), F.min("min_ts").alias("min_ts"), F.max("max_ts").alias("max_ts"), F.sum("rows").alias("n"))
+
+
 def synthetic_paths(spark: SparkSession, d: str) -> DataFrame:
     """A thousand paths of the generator, which reads no table."""
     return path_lengths(generate_events(prepare(spark), paths=1_000, average_events=10, actions=100, seed=7)).select("object_id", "n")
@@ -311,7 +318,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         f.__name__: f
         for f in (
             action_registry, step_counts, path_length, event_state, event_state_fifo, event_state_lifo, property_zero_defaults, state_at_time,
-            bool_from_number, timestamp_parse, event_scan, event_insert_remove, event_set_unset, block_ranges, table_append, table_query, table_compact,
+            bool_from_number, timestamp_parse, event_scan, event_insert_remove, event_set_unset, block_ranges, block_footers, table_append, table_query, table_compact,
             json_import, message_requests, msgpack_rows, last_write_ties, amount_statistics, block_scan, timestamp_now, stream_action_count, synthetic_paths,
         )
     },
@@ -408,6 +415,7 @@ SELECT object_id, coalesce(last(level ORDER BY ts, seq DESC) FILTER (level IS NO
     "event_set_unset": f"""WITH {PATHS}, q AS (SELECT object_id, ts, seq, CASE WHEN action_id = 1 THEN 7 ELSE level END AS level FROM p), u AS (SELECT * REPLACE (CASE WHEN level > 50 THEN NULL ELSE level END AS level) FROM q)
 SELECT seq, coalesce(last_value(level IGNORE NULLS) OVER (PARTITION BY object_id ORDER BY ts, seq DESC ROWS UNBOUNDED PRECEDING), 0) AS level FROM u""",
     "block_ranges": "SELECT min(user_id) AS min_object_id, max(user_id) AS max_object_id, epoch_us(min(ts)) AS min_ts, epoch_us(max(ts)) AS max_ts, count(*) AS n FROM events",
+    "block_footers": "SELECT min(user_id) AS min_user_id, max(user_id) AS max_user_id, epoch_us(min(ts)) AS min_ts, epoch_us(max(ts)) AS max_ts, count(*) AS n FROM events",
     "table_append": f"{STATE} SELECT object_id, count(*) AS n, sum(level)::BIGINT AS levels, max(plan) AS plan FROM s WHERE object_id > 0 GROUP BY object_id",  # a table takes objects above 0 only
     "stream_action_count": "SELECT event_type, count(*) AS n FROM events GROUP BY event_type",
 }

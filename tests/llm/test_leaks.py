@@ -4,7 +4,6 @@ import random
 import unicodedata
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from trailmill.llm import leaks
@@ -43,10 +42,10 @@ def test_hashes():
     assert len(leaks.window_minima(h[:3], 4)) == 0
 
 
-@pytest.mark.parametrize("block", [leaks.BLOCK_CHARS, 2_000])
-def test_leaks(spark, monkeypatch, block):
-    monkeypatch.setattr(leaks, "BLOCK_CHARS", block)
-    r = random.Random(block)
+@pytest.mark.parametrize("small", [leaks.SMALL_ROWS, 3])
+def test_leaks(spark, monkeypatch, small):
+    monkeypatch.setattr(leaks, "SMALL_ROWS", small)
+    r = random.Random(small)
     items = [(f"i{k}", sentence(r, r.choice([5, 12, 13, 14, 40]))) for k in range(20)] + [("none", None), (None, "x " * 20), ("dots", ". , " * 10), ("ones", "a " * 14)]
     docs = []
     for k in range(60):
@@ -68,12 +67,28 @@ def test_leaks(spark, monkeypatch, block):
 
 
 @pytest.mark.parametrize("between", [["a"], ["."], ["a", "", "b"]])
-def test_passage_after_short_texts(between):
+def test_passage_after_short_texts(spark, between):
     """Texts are hashed together; a run of equal MinHashes that began before a short text hides nothing after it."""
     r = random.Random(5)
     items = [(f"i{k}", sentence(r, 13)) for k in range(40)]
     texts = [x for _, t in items for x in (sentence(r, 40), *between, t)]
-    index = leaks.PassageIndex(items, 13)
-    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["doc_id", "text"])
-    got = {x for b in leaks._search(index)([batch]) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+    d = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1)
+    got = set(map(tuple, leaks.leaked_items(d, spark.createDataFrame(items, "item_id string, text string")).collect()))
     assert got == {(d, i) for d, t in enumerate(texts) for i, p in items if letters(p) in letters(t)} and len(got) >= 40
+
+
+def test_passages_within_long_runs(spark):
+    """Texts whose windows all have the same least shingle: the passage stands anywhere in the run."""
+    word = "ab" * 4
+    items = [("i", " ".join([word] * 12 + ["abac"]))]
+    docs = [(0, word * 700), (1, word * 700 + "ac" + word * 300), (2, word * 11 + "abac"), (3, "x" * 70_000 + word * 9_000 + "ac"), (4, "ac")]
+    d, e = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string")
+    assert sorted(map(tuple, leaks.leaked_items(d, e).collect())) == [(1, "i"), (3, "i")]
+
+
+def test_size_classes():
+    assert [leaks.size_class(n) for n in (1, 15, 16, 23, 24, 35, 36, 54)] == [1, 15, 16, 16, 24, 24, 36, 54]
+    codes = code_points("abcabcabcabcabcabc")
+    for size in (1, 3, 5, 15):
+        h = leaks.shingle_hashes(codes, size)
+        assert len(h) == 18 - size + 1 and (h[0] == h[3] if len(h) > 3 else True)

@@ -14,7 +14,7 @@ which the passage must stand, and is verified exactly.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -79,14 +79,14 @@ def size_class(n: int) -> int:
     return size
 
 
-def passages(items: DataFrame, words: int) -> DataFrame:
+def passages(items: DataFrame, words: int, plain: Callable[[str], str] = letters) -> DataFrame:
     """``size, hash, item_id, passage`` of all runs of ``words`` words of the items, each once per item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = set()
             for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist()):
-                split = [letters(w) for w in text.split()]
+                split = [plain(w) for w in text.split()]
                 found |= {(item, p) for i in range(len(split) - words + 1) if (p := "".join(split[i : i + words]))}
             rows = [(size_class(len(p)), item, p) for item, p in sorted(found)]
             hashes = np.array([shingle_hashes(code_points(p[:size]), min(size, SHINGLE)).min() for size, _, p in rows], np.uint64).view(np.int64)
@@ -152,7 +152,8 @@ def candidates(filters: dict, codes: np.ndarray, starts: np.ndarray) -> Iterator
                 yield m[places], begin + places, size
 
 
-def _search(shared):
+def _search(shared, plain: Callable[[str], str]):
+    codes_of = letter_codes if plain is letters else lambda text: code_points(plain(text))
     columns = ["doc_id", "size", "hash", "piece"]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def _search(shared):
                 gather, owner, length = [], [], 0
 
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                gather.append(letter_codes(text.as_py()))
+                gather.append(codes_of(text.as_py()))
                 owner.append(doc_id)
                 length += len(gather[-1])
                 if length >= CHUNK:
@@ -190,13 +191,14 @@ def _search(shared):
     return search
 
 
-def leaked_items(documents: DataFrame, items: DataFrame, words: int = 13) -> DataFrame:
+def leaked_items(documents: DataFrame, items: DataFrame, words: int = 13, plain: Callable[[str], str] = letters) -> DataFrame:
     """Documents that hold ``words`` consecutive words of a test item, and which.
 
     Words are what blanks separate.  Both sides are brought to Unicode form
     NFKC, without case, and everything but letters and digits is removed, so
     line breaks, hyphens and blanks inside a document's words do not hide a
-    passage.  Whole texts are searched, once for all items.
+    passage; ``plain`` may bring them to another form.  Whole texts are
+    searched, once for all items.
 
     Passages are written to the shared folder.  What goes to all tasks is their
     filter, whose size is bounded; the passages themselves are joined to the
@@ -211,9 +213,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, words: int = 13) -> Dat
     spark = documents.sparkSession
     docs = exactly(documents, "doc_id", "text").where(F.col("doc_id").isNotNull() & (F.length("text") > 0))
     wanted = exactly(items, "item_id", "text").where(F.col("item_id").isNotNull() & F.col("text").isNotNull())
-    known, _ = stored(passages(wanted, words))
+    known, _ = stored(passages(wanted, words, plain))
     filters = passage_filter(known)
     if known.count() <= SMALL_ROWS:  # answered from Parquet footers
         known = F.broadcast(known)
-    pieces = docs.mapInArrow(_search(spark.sparkContext.broadcast(filters)), "doc_id long, size int, hash long, piece string")
+    pieces = docs.mapInArrow(_search(spark.sparkContext.broadcast(filters), plain), "doc_id long, size int, hash long, piece string")
     return pieces.join(known, ["size", "hash"]).where(F.contains("piece", "passage")).select("doc_id", "item_id").distinct()

@@ -13,6 +13,7 @@ from .mixing import lengths, mix_sources
 from .patterns import all_patterns, closed_patterns
 from .residue import residue_coverage, without_residue
 from .runs import collapse_runs
+from .text import ascii_letters
 
 
 def p2_runs(spark: SparkSession, d: str) -> DataFrame:
@@ -36,6 +37,11 @@ def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_item"))
 
 
+def p8_ascii(spark: SparkSession, d: str) -> DataFrame:
+    """The search with texts brought to ASCII letters and digits only."""
+    return leaked_items(load(spark, d, "documents"), load(spark, d, "eval_item"), plain=ascii_letters)
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return without_residue(load(spark, d, "documents"))[1]
 
@@ -63,4 +69,4 @@ def p9_length_shares(spark: SparkSession, d: str) -> DataFrame:
     return found.withColumns({c: F.round(c, 9) for c in ("target_share", "share")}).withColumn("largest_total", F.round("largest_total", 3))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p9_mix, p9_shares, p9_lengths, p9_length_shares, p10_found, p10_coverage)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_runs, p4_found, p4_closed, p8_found, p8_ascii, p9_mix, p9_shares, p9_lengths, p9_length_shares, p10_found, p10_coverage)}

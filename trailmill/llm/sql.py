@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..sql import VALID
+from ..sql import BLANK, VALID
 
 RUNS = f"""WITH {VALID},
 names AS (SELECT id, min(lower(regexp_replace(name, '[^A-Za-z0-9]', '', 'g'))) AS plain FROM sky_action WHERE name IS NOT NULL GROUP BY id),
@@ -69,7 +69,19 @@ copies AS (
   FROM placed p JOIN plan USING (source) WHERE off < demand),
 reached AS (SELECT *, (copy * every + off) / demand * share AS q, share * (1 - slope) AS w, 2 * share * slope AS s FROM copies)"""
 
+#: Candidates by the first 16 characters of a passage, wherever they stand in a text.
+LEAKS = rf"""WITH words AS (SELECT item_id, list_filter(regexp_split_to_array(text, '{BLANK}+'), lambda w: w <> '') AS w FROM eval_item WHERE item_id IS NOT NULL AND text IS NOT NULL),
+plain AS (SELECT item_id, list_transform(w, lambda x: lower(regexp_replace(x, '[^A-Za-z0-9]', '', 'g'))) AS w FROM words WHERE len(w) >= 13),
+passages AS (
+  SELECT DISTINCT item_id, p, p[:16] AS head FROM (SELECT item_id, array_to_string(w[i:i + 12], '') AS p FROM (SELECT item_id, w, unnest(range(1, len(w) - 11)) AS i FROM plain))
+  WHERE p <> ''),
+texts AS (SELECT doc_id, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
+places AS (SELECT DISTINCT doc_id, t[i:i + 15] AS head FROM (SELECT doc_id, t, unnest(range(1, len(t) - 14)) AS i FROM texts)),
+likely AS (SELECT doc_id, item_id, p FROM places JOIN passages USING (head) UNION ALL SELECT doc_id, item_id, p FROM texts, (SELECT * FROM passages WHERE len(p) < 16))
+SELECT DISTINCT doc_id, item_id FROM likely JOIN texts USING (doc_id) WHERE contains(t, p)"""
+
 SQL: dict[str, str] = {
+    "p8_ascii": LEAKS,
     "p4_closed": _closed(),
     "p9_lengths": f"""{MIXTURE} SELECT source, doc_id, copy, tokens, round(CASE WHEN q <= 0 THEN 0 ELSE 2 * q / (w + sqrt(greatest(w * w + 2 * s * q, 0))) END, 9) AS position FROM reached""",
     "p9_length_shares": f"""{MIXTURE}, taken AS (SELECT source, count(*) FILTER (copy = 0) AS documents, max(copy) + 1 AS most_copies, sum(tokens)::BIGINT AS tokens FROM copies GROUP BY source)

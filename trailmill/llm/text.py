@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import unicodedata
 
@@ -11,6 +12,7 @@ _FOLD: np.ndarray | None = None
 _ALNUM: np.ndarray | None = None
 #: In the table: the character needs the full normalisation of its text.
 HARD = 0xFFFFFFFF
+_NOT_ASCII = re.compile("[^A-Za-z0-9]")
 
 
 def _fold_table() -> np.ndarray:
@@ -48,6 +50,11 @@ def letters(text: str) -> str:
     return "".join(filter(str.isalnum, fold(text)))
 
 
+def ascii_letters(text: str) -> str:
+    """Only the ASCII letters and digits, in lower case: a plainer form, which any system computes alike."""
+    return _NOT_ASCII.sub("", text).lower()
+
+
 def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
 

@@ -4,8 +4,11 @@ import datetime
 
 import pytest
 
+import samples
+from trailmill.operators.features import feature_table
+from trailmill.session import exactly
 from trailmill.sources.catalog import Database
-from trailmill.streaming.running import append_stream, read_events, running_counts, stream_sessions
+from trailmill.streaming.running import _versions, append_stream, keep_features, kept_features, read_events, running_counts, stream_sessions
 
 SCHEMA = "object_id long, timestamp timestamp, action_id int"
 AT = datetime.datetime(2020, 1, 1)
@@ -47,6 +50,18 @@ def test_sessions_with_late_events(spark, folder):
     assert got[1, at(0)] == 3 and got[1, at(100)] == 1 and got[2, at(5)] == 1 and (9, at(60 * 24 * 30)) not in got
 
 
+def test_features_are_kept(spark, tmp_path):
+    rows = samples.events(seed=4)
+    e = exactly(samples.frames(spark, rows, [])[0], "event_id", "object_id", "timestamp", "action_id", "seq")
+    for i in range(3):
+        e.where(f"coalesce(seq, 0) % 3 = {i}").coalesce(1).write.parquet(f"{tmp_path}/in/part{i}.parquet")
+    deliveries = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    path = f"file://{tmp_path}/features"
+    keep_features(deliveries, path, f"{tmp_path}/c").awaitTermination()
+    assert sorted(map(tuple, kept_features(spark, path).collect())) == sorted(map(tuple, feature_table(e).collect()))
+    assert _versions(spark, path) == [1, 2]
+
+
 def test_read_events(spark, folder):
     spark.range(3).write.parquet(f"{folder}/data/events.parquet")
     spark.range(5).write.parquet(f"{folder}/data/other.parquet")

@@ -118,10 +118,11 @@ def update_features(deliveries: DataFrame, state: tuple[DataFrame, DataFrame] |
     not matter, nor does a batch that comes twice.
     """
     new = _rows(deliveries)
-    if state is None:
-        features, firsts = new.where(F.lit(False)).transform(deltas, 1), new.where(F.lit(False))
-    else:
-        features, firsts = state
+    if state is None:  # nothing to take the place of
+        order = Window.partitionBy("event_id").orderBy(*_order())
+        beginning, _ = stored(new.withColumn("first", F.lag(F.lit(1)).over(order).isNull()).where("first").select(*ROW))
+        return stored(deltas(beginning.where(usable()), 1))[0], beginning
+    features, firsts = state
     known = firsts.join(new.select("event_id").distinct(), "event_id", "left_semi")
     both = known.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
     order = Window.partitionBy("event_id").orderBy(*_order(), F.col("old").desc())

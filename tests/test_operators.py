@@ -131,6 +131,9 @@ def test_features_are_kept_up(sample):
     for part in parts:
         state = update_features(part, state)
     assert rows(flat_features(state[0])) == want
+    for n in (3, 40):  # few deliveries meet only their own events
+        state = update_features(sample[2].where(f"seq < {n}"), update_features(sample[2].where(f"seq >= {n} or seq is null")))
+        assert rows(flat_features(state[0])) == want and rows(state[1]) == rows(update_features(sample[2])[1])
     again = update_features(sample[2].where("seq = -1"), state)
     assert rows(flat_features(again[0])) == want
 

@@ -107,8 +107,8 @@ def update_features(deliveries: DataFrame, state: tuple[DataFrame, DataFrame] |
     """``(features, firsts)`` after new deliveries, from those before (None at the start).
 
     ``features`` are ``object_id, action_id, n, last`` and ``firsts`` the first
-    delivery of each event so far, valid or not.  New deliveries meet the firsts
-    of their own events only.  One that is its event's first is inserted, and
+    delivery of each event so far, valid or not.  Few new deliveries meet only
+    the firsts of their own events, many meet all in one shuffle.  One that is its event's first is inserted, and
     the one it takes the place of, if any, is retracted; later deliveries of
     known events change nothing.  Counts are added; the latest event is looked
     up again only in groups whose latest was retracted.
@@ -123,12 +123,14 @@ def update_features(deliveries: DataFrame, state: tuple[DataFrame, DataFrame] |
         beginning, _ = stored(new.withColumn("first", F.lag(F.lit(1)).over(order).isNull()).where("first").select(*ROW))
         return stored(deltas(beginning.where(usable()), 1))[0], beginning
     features, firsts = state
-    known = firsts.join(new.select("event_id").distinct(), "event_id", "left_semi")
+    small = new.count() * 10 < firsts.count()  # else most of the firsts would travel for either join below
+    known = firsts.join(new.select("event_id").distinct(), "event_id", "left_semi") if small else firsts
     both = known.withColumn("old", F.lit(True)).unionByName(new.withColumn("old", F.lit(False)))
     order = Window.partitionBy("event_id").orderBy(*_order(), F.col("old").desc())
     seen, _ = stored(both.withColumn("first", F.lag(F.lit(1)).over(order).isNull()).where(F.col("first") | F.col("old")))
-    beginning = seen.where("first").select(*ROW)
-    after, _ = stored(firsts.join(seen.select("event_id").distinct(), "event_id", "left_anti").select(*ROW).unionByName(beginning))
+    after = seen.where("first").select(*ROW)
+    if small:
+        after, _ = stored(firsts.join(seen.select("event_id").distinct(), "event_id", "left_anti").select(*ROW).unionByName(after))
     inserted = deltas(seen.where("first and not old").where(usable()), 1)
     retracted = deltas(seen.where("old and not first").where(usable()), -1)
     live = after.where(usable())
